@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -78,7 +79,15 @@ class Scratch:
             pass
 
 
+def ready_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, installed or not."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
