@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklode.llm import linking, tokens
+from tracklode.llm import linking, neighbours, tokens
 from tracklode.runtime import read
 
 QUERIES: dict = {}
@@ -36,3 +36,8 @@ def p4_found(spark, sf_dir):
 @query("p7_ids")
 def p7_ids(spark, sf_dir):
     return tokens.encode(read(spark, sf_dir, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark, sf_dir):
+    return neighbours.neighbour_pairs(read(spark, sf_dir, "point_features"))
