@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklode.llm import linking, neighbours, tokens
+from tracklode.llm import linking, neighbours, subsequences, tokens
 from tracklode.runtime import read
 
 QUERIES: dict = {}
@@ -41,3 +41,14 @@ def p7_ids(spark, sf_dir):
 @query("p3_found")
 def p3_found(spark, sf_dir):
     return neighbours.neighbour_pairs(read(spark, sf_dir, "point_features"))
+
+
+@query("p2_found")
+def p2_found(spark, sf_dir):
+    return subsequences.frequent_patterns(read(spark, sf_dir, "traj_items")).select("pattern")
+
+
+@query("p2_supports")
+def p2_supports(spark, sf_dir):
+    """Every frequent pattern with the number of trajectories that support it."""
+    return subsequences.frequent_patterns(read(spark, sf_dir, "traj_items"))
