@@ -167,7 +167,7 @@ def nearest_records(points: DataFrame, dim: int = 16, k: int = 5, limit: float =
     pts = scratch.table(V.usable(points, dim))
     reps = scratch.table(V.classes(pts))
     n = reps.count()
-    near = nearest(reps, n, dim, k, limit, **index)
+    near = scratch.table(nearest(reps, n, dim, k, limit, **index))
     many = reps.where("n > 1").select("v", "rep", "n")
     member = pts.join(many, "v").select("rep", "rid")  # members of groups of copies only
     few = member.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("rid"))).where(F.col("_r") <= k + 1).drop("_r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklode.llm import linking, neighbours, subsequences, tokens
+from tracklode.llm import linking, neighbours, setjoin, subsequences, tokens
 from tracklode.runtime import read
 
 QUERIES: dict = {}
@@ -52,3 +52,14 @@ def p2_found(spark, sf_dir):
 def p2_supports(spark, sf_dir):
     """Every frequent pattern with the number of trajectories that support it."""
     return subsequences.frequent_patterns(read(spark, sf_dir, "traj_items"))
+
+
+@query("p6_found")
+def p6_found(spark, sf_dir):
+    return setjoin.similar_pairs(read(spark, sf_dir, "set_features"), read(spark, sf_dir, "area_sets"))
+
+
+@query("p6_links")
+def p6_links(spark, sf_dir):
+    """One row per record: its group of equal sets and how many other sets are similar to it."""
+    return setjoin.similarity_links(read(spark, sf_dir, "set_features"), read(spark, sf_dir, "area_sets"))
