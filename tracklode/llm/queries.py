@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklode.llm import linking, neighbours, setjoin, subsequences, tokens
+from tracklode.llm import communities, linking, neighbours, setjoin, subsequences, tokens
 from tracklode.runtime import read
 
 QUERIES: dict = {}
@@ -63,3 +63,14 @@ def p6_found(spark, sf_dir):
 def p6_links(spark, sf_dir):
     """One row per record: its group of equal sets and how many other sets are similar to it."""
     return setjoin.similarity_links(read(spark, sf_dir, "set_features"), read(spark, sf_dir, "area_sets"))
+
+
+@query("p1_found")
+def p1_found(spark, sf_dir):
+    return communities.cluster_members(read(spark, sf_dir, "point_features"))
+
+
+@query("p1_clusters")
+def p1_clusters(spark, sf_dir):
+    """Each cluster with its size and most typical members."""
+    return communities.cluster_summary(read(spark, sf_dir, "point_features"))
