@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklode.llm import communities, linking, neighbours, setjoin, subsequences, tokens
+from tracklode.llm import communities, linking, mixture, neighbours, setjoin, subsequences, tokens
 from tracklode.runtime import read
 
 QUERIES: dict = {}
@@ -74,3 +74,15 @@ def p1_found(spark, sf_dir):
 def p1_clusters(spark, sf_dir):
     """Each cluster with its size and most typical members."""
     return communities.cluster_summary(read(spark, sf_dir, "point_features"))
+
+
+@query("p8_mixture")
+def p8_mixture(spark, sf_dir):
+    """Every use of a document in the mixture of source_targets."""
+    return mixture.mixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark, sf_dir):
+    """Target and actual share of each source."""
+    return mixture.shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))
