@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklode.llm import communities, linking, mixture, neighbours, setjoin, subsequences, tokens
+from tracklode.llm import communities, linking, mixture, neighbours, privacy, setjoin, subsequences, tokens
 from tracklode.runtime import read
 
 QUERIES: dict = {}
@@ -86,3 +86,14 @@ def p8_mixture(spark, sf_dir):
 def p8_shares(spark, sf_dir):
     """Target and actual share of each source."""
     return mixture.shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))
+
+
+@query("p9_found")
+def p9_found(spark, sf_dir):
+    return privacy.found(read(spark, sf_dir, "documents"), read(spark, sf_dir, "name_parts"))
+
+
+@query("p9_redacted")
+def p9_redacted(spark, sf_dir):
+    """Each text with typed placeholders; the key of this query is public, so only for show."""
+    return privacy.redacted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "name_parts"), key="p9_redacted")
