@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklode.functions.groups import group_bounds, whole_groups  # noqa: F401
 from tracklode.runtime import is_finite
 
 #: Rows the rotation is fitted on at most.
@@ -50,31 +51,6 @@ def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
 
 
-def whole_groups(batches, key: str):
-    """Arrow tables of complete groups from batches sorted by `key`; a group is never cut."""
-    kept: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(k, k[-1]))  # start of the last group in this batch
-        if kept and last == 0 and kept[-1].column(b.schema.get_field_index(key))[0].as_py() == k[0]:
-            kept.append(b)
-            continue
-        if last > 0:
-            yield pa.Table.from_batches([*kept, b.slice(0, last)]).combine_chunks()
-        elif kept:
-            yield pa.Table.from_batches(kept).combine_chunks()
-        kept = [b.slice(last)]
-    if kept:
-        yield pa.Table.from_batches(kept).combine_chunks()
-
-
-def group_bounds(k: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values, and the length at the end."""
-    return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else np.array([0])
-
-
 def exact_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(-1))
 
