@@ -66,8 +66,12 @@ NO_NUMBER = re.compile(r"(?:ref\.|order no\.|no\.|Container|lading|Auftragsnumme
 AT = re.compile(r" ?(?:@|\(at\)|\[at\]|\{at\}|\(arobase\)) ?")
 LOCAL_PART = re.compile(r"[A-Za-z0-9À-ÿ_](?:[\w.+-]|(?: ?[(\[]dot[)\]] ?))*$")
 DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[(\[](?:dot|Punkt|point)[)\]] ?)[\w-]+)*(?:\.| ?[(\[](?:dot|Punkt|point)[)\]] ?)[A-Za-z]{2,}(?![\w@])")
-WORD = re.compile(r"(?<![\w@+.'’-])(?:[ae]l-)?[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’-]*")
-PART_GAP = re.compile(r" (?:van der|van den|van|von der) ")
+WORD = re.compile(r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’-]*")
+PARTICLE_END = re.compile(rf"(?:^| )({PARTICLES} )$")
+INITIAL_END = re.compile(r"(?<![\w.])[A-Z]\. $")
+INSIDE = re.compile(r"[\w@+.'’-]")
+WORD_BEFORE = re.compile(r"(?<![\w@+.'’-])([A-ZÀ-ÖØ-ÞĀ-Ž][\w'’-]{2,}) $")
+BETWEEN = re.compile(r"(?<![\w@+.'’-])([A-ZÀ-Þ][\w'’-]+(?: [A-Z]\.)*) (?:van der|van den|van|von der) ([A-ZÀ-Þ][\w'’-]*\w)")
 BORN = re.compile(rf"\b(?:née|né|geb\.|geborene[rn]?) ((?:{PARTICLES} )?(?:[ae]l-)?[A-ZÀ-Þ][\w'’-]*[\w])")
 LISTED = re.compile(rf"(?:register lists|entry reads:|eingetragen:|registre mentionne) ((?:{PARTICLES} |[A-Z]{{2,3}} )*(?:[ae]l-|AL-)?[A-ZÀ-Þ][\w'’-]+(?:,? [A-ZÀ-Þ][\w'’-]+)?(?: [A-Z]\.)?)(?=[,;])")
 GAP = re.compile(rf"\.? (?:{PARTICLES} )?")
@@ -207,47 +211,39 @@ class Finder:
             yield a, a + form.end(), "PHONE"
 
     def _people(self, flat, lang):
-        kind_of = self.names.kind
+        kind_of, kinds_get = self.names.kind, self.names.kinds.get
         words: list[list] = []
-        seen: dict[str, list[tuple[int, int]]] = {}
         last = -99
-        kinds_get, stop, wait = self.names.kinds.get, STOP, None
         for m in WORD.finditer(flat):
             w = m.group()
+            k = kinds_get(w) or kind_of(w)
+            if k == "U" and m.start() - last > 12 and w[-2:] not in ("'s", "’s") or k == "S":
+                continue
             a, z = m.span()
             if z - a > 2 and w[-2] in "'’" and w[-1] == "s":
                 w = w[:-2]
                 z -= 2
-            k = kinds_get(w) or kind_of(w)
-            if k == "U":
-                if a - last > 12:
-                    if w in stop:
-                        wait = None
-                    elif wait and PART_GAP.fullmatch(flat, wait[1], a):
-                        words.append([*wait, "P"])
-                        words.append([a, z, w, "F"])
-                        last = z
-                    else:
-                        wait = (a, z, w)
-                        if w in seen:
-                            seen[w].append((a, z))
-                        else:
-                            seen[w] = [(a, z)]
+                k = kinds_get(w) or kind_of(w)
+                if k == "S" or k == "U" and a - last > 12:
                     continue
-            elif k == "S":
-                wait = None
-                continue
-            elif k == "I":
+            if a and INSIDE.match(flat, a - 1):
+                if flat[a - 3 : a] not in ("al-", "el-") or a > 3 and INSIDE.match(flat, a - 4):
+                    continue
+                a -= 3
+                w = flat[a:z]
+                k = kind_of(w)
+            if k == "I":
                 if lang == "fr" and w == "M" and flat.startswith(". ", z):
                     k = "T"
                 elif not flat.startswith(".", z):
                     continue
-            if z < len(flat) and flat[z] == "@":
+            if flat.startswith("@", z):
                 continue
             # an unknown word right before a family name (or an initial and one), unless it is an ordinary word
-            if wait and k in "FfI" and wait[1] >= last and GAP.fullmatch(flat, wait[1], a) and flat[wait[1]] == " " and len(wait[2]) > 2 and f" {wait[2].lower()} " not in flat:
-                words.append([*wait, "P"])
-            wait = None
+            if k in "FfI" and a - last > 1 and (lead := WORD_BEFORE.search(flat, max(0, a - 40), a)):
+                before = lead.group(1)
+                if lead.start() >= last and before not in STOP and kind_of(before) == "U" and f" {before.lower()} " not in flat:
+                    words.append([lead.start(), lead.end(1), before, "P"])
             words.append([a, z, w, k])
             last = z
         spans: list[tuple[int, int, list[str], bool]] = []  # start, end, words, certain
@@ -268,6 +264,8 @@ class Finder:
             run: list[int] = []
             while j < n:
                 a, z, w, k = words[j]
+                if k == "U" and not run and not titled and w not in STOP and len(w) > 2 and j + 1 < n and words[j + 1][3] in "FfI" and GAP.fullmatch(flat, z, words[j + 1][0]) and flat[z] == " " and f" {w.lower()} " not in flat:
+                    k = words[j][3] = "P"
                 if run and not GAP.fullmatch(flat, words[run[-1]][1], a):
                     break
                 if run and words[run[-1]][3] != "I" and flat[words[run[-1]][1]] == ".":
@@ -294,8 +292,6 @@ class Finder:
                 continue
             certain = titled or len(run) > 1 and any(k in "GFgf" for k in kinds)
             if not certain and not any(k in "GF" for k in kinds):
-                for r in run:
-                    seen.setdefault(words[r][2], []).append((words[r][0], words[r][1]))
                 continue
             spans.append((start, end, [words[r][2] for r in run if words[r][3] != "I"], certain))
         for p in PARTIES:
@@ -308,6 +304,10 @@ class Finder:
                 t = m.group(1)
                 if "XX" not in t and not flat.startswith(".", m.end(1)):
                     spans.append((m.start(1), m.end(1), [x for x in re.split(r",? ", t) if len(x) > 2 and x[0].isupper()], True))
+        if " van " in flat or " von der " in flat:
+            for m in BETWEEN.finditer(flat):
+                if not set(m.group(1).split()) & STOP and "XX" not in m.group():
+                    spans.append((m.start(), m.end(), [m.group(1).split()[0], m.group(2)], True))
         spans = [s for s in spans if not self._no_person(flat, s[0], s[1])]
         # names given in full before, now alone
         known = {}
@@ -315,21 +315,24 @@ class Finder:
             if certain:
                 full = flat[a:z]
                 for w in ws:
-                    p = re.search(rf"({PARTICLES} )?{re.escape(w)}$", full)
-                    if p:
-                        known.setdefault(w, p.group(1) or "")
-                        known.setdefault(w[:1] + w[1:].lower() if w.isupper() else w, p.group(1) or "")
+                    if full.endswith(w) and w not in TITLES:
+                        p = PARTICLE_END.search(full[: -len(w)])
+                        known.setdefault(w, p.group(1) if p else "")
+                        if w.isupper():
+                            known.setdefault(w[:1] + w[1:].lower(), p.group(1) if p else "")
         for w, lead in known.items():
-            for a, z in seen.get(w, ()):
-                if flat[max(0, a - 3) : a].lower().endswith(("im ", "in ")) and flat[z : z + 2].strip()[:1].isdigit():
-                    continue
-                if lead:
-                    if not flat.startswith(lead, max(0, a - len(lead))):
-                        continue
-                    a -= len(lead)
-                if flat[z : z + 2].strip()[:1].isdigit() or self._no_person(flat, a, z):
-                    continue
-                spans.append((a, z, [w], True))
+            if kind_of(w) in "GF":
+                continue  # found wherever it stands
+            a = flat.find(lead + w)
+            while a >= 0:
+                z = a + len(lead) + len(w)
+                alone = not (a and INSIDE.match(flat, a - 1)) and not (z < len(flat) and (flat[z].isalnum() or flat[z] in "_-@"))
+                season = flat[max(0, a - 3) : a].lower() in ("im ", "in ")
+                if alone and (i := INITIAL_END.search(flat, max(0, a - 3), a)) and not (lang == "fr" and i.group() == "M. "):
+                    a = i.start()
+                if alone and not season and not flat[z : z + 2].strip()[:1].isdigit() and not self._no_person(flat, a, z):
+                    spans.append((a, z, [w], True))
+                a = flat.find(lead + w, z)
         out = []
         for a, z, *_ in sorted(spans, key=lambda s: (s[0], -s[1])):
             if not out or a >= out[-1][1]:
