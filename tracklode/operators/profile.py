@@ -10,7 +10,10 @@ from tracklode.runtime import is_finite
 
 def numeric_stats(df: DataFrame, dims: list[str]) -> DataFrame:
     """(dim, min, max, sum, sum_sq, count, mean, std) of each numeric column in one pass; nulls and
-    non-finite values are left out, std is that of the population, an empty column has nulls."""
+    non-finite values are left out, std is that of the population, an empty column has nulls; no
+    column, no rows."""
+    if not dims:
+        return df.sparkSession.createDataFrame([], "dim string, min double, max double, sum double, sum_sq double, count bigint, mean double, std double")
     ok = {d: F.when(is_finite(F.col(d).cast("double")), F.col(d).cast("double")) for d in dims}
     one = df.agg(*(F.struct(F.lit(d).alias("dim"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("sum"), F.sum(c * c).alias("sum_sq"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(d) for d, c in ok.items()))
     return one.select(F.explode(F.array(*(F.col(d) for d in dims))).alias("s")).select("s.*")
@@ -18,7 +21,9 @@ def numeric_stats(df: DataFrame, dims: list[str]) -> DataFrame:
 
 def lexicon(df: DataFrame, dims: list[str]) -> DataFrame:
     """(dim, word, id, count): the words of each nominal column, ids from 0 in alphabetical order;
-    nulls are no words."""
+    nulls are no words; no column, no rows."""
+    if not dims:
+        return df.sparkSession.createDataFrame([], "dim string, word string, id int, count bigint")
     words = df.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("word")) for d in dims))).alias("w")).select("w.*").where("word IS NOT NULL").groupBy("dim", "word").count()
     return words.select("dim", "word", (F.row_number().over(Window.partitionBy("dim").orderBy("word")) - 1).alias("id"), "count")
 
@@ -76,7 +81,7 @@ def with_rid(df: DataFrame, traj: str = "d_0", tick: str = "d_1") -> DataFrame:
 
 def lexicon_ids(df: DataFrame, dims: list[str], words: DataFrame | None = None) -> DataFrame:
     """Adds id_<dim>: the lexicon id of each nominal value, null for null or unseen words."""
-    words = lexicon(df, dims) if words is None else words
+    words = lexicon(df, dims) if words is None and dims else words
     out = df
     for d in dims:
         w = words.where(F.col("dim") == d).select(F.col("word").alias(f"_word_{d}"), F.col("id").alias(f"id_{d}"))
