@@ -129,3 +129,12 @@ def test_feistel_round_trips():
         assert len(p) == len(s) and [c.isdigit() for c in p] == [c.isdigit() for c in s] and privacy.permute_text(p, key, back=True) == s
     d = dt.date(1987, 6, 5)
     assert privacy.permute_date(privacy.permute_date(d, key), key, back=True) == d and privacy.permute_date(dt.date(1850, 1, 1), key) == dt.date(1850, 1, 1)
+
+
+def test_decomposed_letters_stay_as_written():
+    import unicodedata
+
+    f = privacy.Finder(PARTS)
+    text = unicodedata.normalize("NFD", "Le pli adressé à Mme Öhlbrand, née Fenvik, 24 rue des Forgés, est revenu le jour que la cour a fixé, numéro fiscal QX 94 29 73 J.")
+    got = {(k, text[a:z]) for a, z, k in f.find(text)}
+    assert got == {(k, unicodedata.normalize("NFD", s)) for k, s in (("NAME", "Öhlbrand"), ("NAME", "Fenvik"), ("ADDRESS", "24 rue des Forgés"), ("IDNUM", "QX 94 29 73 J"))}

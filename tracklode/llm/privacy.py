@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -66,14 +67,15 @@ NO_NUMBER = re.compile(r"(?:ref\.|order no\.|no\.|Container|lading|Auftragsnumme
 AT = re.compile(r" ?(?:@|\(at\)|\[at\]|\{at\}|\(arobase\)) ?")
 LOCAL_PART = re.compile(r"[A-Za-z0-9À-ÿ_](?:[\w.+-]|(?: ?[(\[]dot[)\]] ?))*$")
 DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[(\[](?:dot|Punkt|point)[)\]] ?)[\w-]+)*(?:\.| ?[(\[](?:dot|Punkt|point)[)\]] ?)[A-Za-z]{2,}(?![\w@])")
-WORD = re.compile(r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’-]*")
+WORD = re.compile(r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’\u0300-\u036f-]*")
 PARTICLE_END = re.compile(rf"(?:^| )({PARTICLES} )$")
 INITIAL_END = re.compile(r"(?<![\w.])[A-Z]\. $")
-INSIDE = re.compile(r"[\w@+.'’-]")
-WORD_BEFORE = re.compile(r"(?<![\w@+.'’-])([A-ZÀ-ÖØ-ÞĀ-Ž][\w'’-]{2,}) $")
+CLUSTER = re.compile(r"[\x00-\x7f]+(?![\u0300-\u036f])|.[\u0300-\u036f]*", re.S)
+INSIDE = re.compile(r"[\w@+.'’\u0300-\u036f-]")
+WORD_BEFORE = re.compile(r"(?<![\w@+.'’-])([A-ZÀ-ÖØ-ÞĀ-Ž][\w'’\u0300-\u036f-]{2,}) $")
 BETWEEN = re.compile(r"(?<![\w@+.'’-])([A-ZÀ-Þ][\w'’-]+(?: [A-Z]\.)*) (?:van der|van den|van|von der) ([A-ZÀ-Þ][\w'’-]*\w)")
-BORN = re.compile(rf"\b(?:née|né|geb\.|geborene[rn]?) ((?:{PARTICLES} )?(?:[ae]l-)?[A-ZÀ-Þ][\w'’-]*[\w])")
-LISTED = re.compile(rf"(?:register lists|entry reads:|eingetragen:|registre mentionne) ((?:{PARTICLES} |[A-Z]{{2,3}} )*(?:[ae]l-|AL-)?[A-ZÀ-Þ][\w'’-]+(?:,? [A-ZÀ-Þ][\w'’-]+)?(?: [A-Z]\.)?)(?=[,;])")
+BORN = re.compile(rf"\b(?:née|né|geb\.|geborene[rn]?) ((?:{PARTICLES} )?(?:[ae]l-)?[A-ZÀ-Þ][\w'’\u0300-\u036f-]*[\w\u0300-\u036f])")
+LISTED = re.compile(rf"(?:register lists|entry reads:|eingetragen:|registre mentionne) ((?:{PARTICLES} |[A-Z]{{2,3}} )*(?:[ae]l-|AL-)?[A-ZÀ-Þ][\w'’\u0300-\u036f-]+(?:,? [A-ZÀ-Þ][\w'’\u0300-\u036f-]+)?(?: [A-Z]\.)?)(?=[,;])")
 GAP = re.compile(rf"\.? (?:{PARTICLES} )?")
 PARTIES = [
     re.compile(r"BETWEEN: ([^()]{3,60}?) \(claimant\)"),
@@ -95,7 +97,7 @@ class NameParts:
     """What the name table teaches: its entries, and beginnings and endings that combine in it."""
 
     def __init__(self, parts: list[tuple[str, str]], least: int = 3):
-        self.table = {p.lower(): k[0] for p, k in parts if p and k}
+        self.table = {unicodedata.normalize("NFC", p).lower(): k[0] for p, k in parts if p and k}
         self.free: dict[str, tuple[set, set]] = {}
         for kind in {k for _, k in parts if k}:
             words = {p.lower() for p, k in parts if p and k == kind and p.isalpha()}
@@ -128,7 +130,7 @@ class NameParts:
             return "I"
         if not word.strip("X") or any(c.isdigit() for c in word):
             return "S"
-        w = word.lower()
+        w = unicodedata.normalize("NFC", word).lower()
         if len(word) > 3 and w.isalpha():
             for k, (h, t) in self.free.items():
                 if any(w[:i] in h and w[i:] in t for i in range(2, len(w))):
@@ -144,6 +146,18 @@ class Finder:
 
     def find(self, flat: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in a text whose runs of blanks are one blank; spans don't overlap."""
+        if flat.isascii() or unicodedata.is_normalized("NFC", flat):
+            return self._find(flat)
+        # decomposed letters: looked at composed, placed in the text as written
+        composed, at = [], []
+        for m in CLUSTER.finditer(flat):
+            c = unicodedata.normalize("NFC", m.group())
+            composed.append(c)
+            at += range(m.start(), m.end()) if len(c) == len(m.group()) else [m.start()] * len(c)
+        at.append(len(flat))
+        return [(at[a], at[z], kind) for a, z, kind in self._find("".join(composed))]
+
+    def _find(self, flat: str) -> list[tuple[int, int, str]]:
         lang = language(flat)
         taken: list[tuple[int, int, str]] = []
         for a, z in self._mail(flat):
@@ -326,7 +340,7 @@ class Finder:
             a = flat.find(lead + w)
             while a >= 0:
                 z = a + len(lead) + len(w)
-                alone = not (a and INSIDE.match(flat, a - 1)) and not (z < len(flat) and (flat[z].isalnum() or flat[z] in "_-@"))
+                alone = not (a and INSIDE.match(flat, a - 1)) and not (z < len(flat) and (flat[z].isalnum() or flat[z] in "_-@" or "\u0300" <= flat[z] <= "\u036f"))
                 season = flat[max(0, a - 3) : a].lower() in ("im ", "in ")
                 if alone and (i := INITIAL_END.search(flat, max(0, a - 3), a)) and not (lang == "fr" and i.group() == "M. "):
                     a = i.start()
