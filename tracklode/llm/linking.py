@@ -43,15 +43,16 @@ def _level(edges: DataFrame, level: int, rate: float, rounds: int) -> DataFrame:
     # head start of a vertex: exponential, cut at the number of rounds
     u = (F.abs(F.xxhash64(F.col("id"), F.lit(7919 * (level + 1)))) % F.lit(1 << 52) + 1) / F.lit(float((1 << 52) + 1))
     start = F.least(-F.log(u) / F.lit(rate), F.lit(float(rounds)))
-    own = edges.select(F.col("src").alias("id")).distinct().select("id", F.struct((-start).alias("t"), F.col("id").alias("c")).alias("best"))
+    begin = lambda c: F.struct((-start).alias("t"), c.alias("c"))
+    # hops of length 0 keep a vertex's own cluster in the running, so each round reads the last one once
+    hops = edges.select("src", "dst", F.lit(1.0).alias("hop")).unionByName(edges.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("hop")).distinct())
+    first = hops.withColumn("id", F.col("src")).select("dst", "hop", begin(F.col("id")).alias("best"))
+    own = None
     for _ in range(rounds):
         # the cluster whose shifted start plus hops is least reaches a vertex first
-        sent = (
-            edges.join(own.withColumnRenamed("id", "src"), "src")
-            .select(F.col("dst").alias("id"), F.struct((F.col("best.t") + 1.0).alias("t"), F.col("best.c").alias("c")).alias("best"))
-        )
-        own = own.unionByName(sent).groupBy("id").agg(F.min("best").alias("best"))
-    return own.select("id", F.col("best.c").alias("center"))
+        sent = first if own is None else hops.join(own, "src").select("dst", "hop", "best")
+        own = sent.groupBy(F.col("dst").alias("src")).agg(F.min(F.struct((F.col("best.t") + F.col("hop")).alias("t"), F.col("best.c").alias("c"))).alias("best"))
+    return own.select(F.col("src").alias("id"), F.col("best.c").alias("center"))
 
 
 def group_ids(pairs: DataFrame, a: str = "rid_a", b: str = "rid_b", rate: float = 0.7, rounds: int = 2, finish_edges: int = FINISH_EDGES) -> DataFrame:
