@@ -241,7 +241,9 @@ def test_even_split():
     assert db.even_split([((0, 0, 1, 1), 3), ((2, 2, 3, 3), 4), ((0, 1, 1, 2), 2)], 4, 1)[:2] == [((1, 0, 3, 3), 4), ((0, 1, 1, 3), 2)]
 
 
-def test_density_clusters_follow_the_seed_order(spark):
+@pytest.mark.parametrize("small", [graph.SMALL, 0])
+def test_density_clusters_follow_the_seed_order(spark, monkeypatch, small):
+    monkeypatch.setattr(density, "SMALL", small)
     r = random.Random(4)
     cells = {(x, y): r.randint(1, 9) for x in range(7) for y in range(7) if r.random() < 0.6}
     df = spark.createDataFrame([(list(c), n) for c, n in cells.items()], "cell array<bigint>, n bigint")

@@ -1,7 +1,8 @@
 """Density clustering of points within a radius, and the exploratory counts that go with it.
 
-Equal points are one vertex with a weight. A vertex goes to its own grid cell (side eps) and, as a
-border copy, to the neighbouring cells its radius reaches, so every pair within eps meets in a cell.
+Equal points are one vertex with a weight. A vertex goes to its own grid cell (SIDE times eps wide)
+and, as a border copy, to the neighbouring cells its radius reaches, so every pair within eps meets
+in a cell.
 Cells are worked through as sorted groups in blocks: neither pairs nor cells are ever gathered.
 """
 
@@ -20,6 +21,8 @@ from tracklode.operators.profile import histogram
 from tracklode.runtime import Scratch, is_finite
 
 BLOCK = 4_000_000
+#: Width of a cell in radii: wider cells need fewer border copies and more comparisons.
+SIDE = 4
 
 
 def vertices(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -33,16 +36,17 @@ def vertices(df: DataFrame, cols: list[str]) -> DataFrame:
 def _copies(df: DataFrame, dims: int, eps: float) -> DataFrame:
     """Adds cell and home, one row per cell the point belongs to; cells span the first two dimensions."""
     axes = min(dims, 2)
-    base = [F.floor(F.col("v")[i] / eps) for i in range(axes)]
-    off = [F.col("v")[i] - base[i] * eps for i in range(axes)]
+    side, reach = SIDE * eps, eps * (1 + 1e-9)
+    base = [F.floor(F.col("v")[i] / side) for i in range(axes)]
+    off = [F.col("v")[i] - base[i] * side for i in range(axes)]
     steps = []
     for step in itertools.product((0, -1, 1), repeat=axes):
         ok = F.lit(True)
         for i, s in enumerate(step):
             if s == -1:
-                ok = ok & (off[i] <= eps)
+                ok = ok & (off[i] <= reach)
             elif s == 1:
-                ok = ok & (off[i] >= 0)
+                ok = ok & (off[i] >= side - reach)
         steps.append(F.when(ok, F.struct(F.xxhash64(*(base[i] + s for i, s in enumerate(step))).alias("cell"), F.lit(not any(step)).alias("home"))))
     return df.withColumn("_c", F.explode(F.filter(F.array(*steps), lambda x: x.isNotNull()))).select("*", "_c.cell", "_c.home").drop("_c")
 
@@ -191,7 +195,7 @@ def predict(labelled: DataFrame, cols: list[str], queries: DataFrame, id_col: st
     known = labelled.groupBy(F.array(*(F.col(c).cast("double") for c in cols)).alias("v"), "cluster").agg(F.count("*").alias("w"))
     ask = queries.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("double") for c in cols)).alias("q"))
     k = _copies(known, dims, eps).select("cell", "v", "cluster", "w")
-    q = ask.withColumn("cell", F.xxhash64(*(F.floor(F.col("q")[i] / eps) for i in range(min(dims, 2)))))
+    q = ask.withColumn("cell", F.xxhash64(*(F.floor(F.col("q")[i] / (SIDE * eps)) for i in range(min(dims, 2)))))
     near = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) <= eps * eps
     counts = q.join(k, "cell").where(near).groupBy("id", "cluster").agg(F.sum("w").alias("n"))
     per = counts.groupBy("id").agg(
