@@ -353,6 +353,24 @@ def test_worked_example(spark):
     assert {r.text for r in sequences.transition_text(sequences.cluster_transitions(sequences.transitions(inst), 10.0, 1.0)).collect()} == {"1-0.0,0.0,0.0,50.0,0.0,0.0", "1-200.0,0.0,0.0,230.0,0.0,0.0"}
 
 
+def test_transition_density_clusters(spark):
+    rows = [("1,2", 2, t, n, [x, 0.0]) for t, n, x in ((1, 0, 0.0), (1, 1, 1.0), (2, 0, 2.0), (3, 0, 50.0), (4, 0, 100.0), (5, 0, 100.5), (6, 0, 101.0))] + [("3,4", 2, 1, 0, [0.0, 0.0])]
+    tr = spark.createDataFrame(rows, "pattern string, length int, traj bigint, n int, v array<double>")
+    got = {(r.pattern, r.traj, r.v[0]): r.cluster for r in sequences.cluster_transitions_dbscan(tr, 1.2, 3).collect()}
+    assert [got["1,2", t, x] for t, x in ((1, 0.0), (1, 1.0), (2, 2.0), (3, 50.0), (4, 100.0), (5, 100.5), (6, 101.0))] == [1, 1, 1, 0, 2, 2, 2] and got["3,4", 1, 0.0] == 0
+    pts = spark.createDataFrame([(i, [float(i % 2) * 10 + i * 0.01, 1.0]) for i in range(40)], "id int, v array<double>")
+    lab = {r.id: r.cluster for r in sequences.cluster_vectors(pts, 2, slices=2, label_slices=1).collect()}
+    assert len({lab[i] for i in range(0, 40, 2)}) == 1 == len({lab[i] for i in range(1, 40, 2)}) and lab[0] != lab[1]
+
+
+def test_block_distances(spark):
+    from tracklode.operators import pairs
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(None, [1.0, 1.0]), (99, None)], "id int, v array<double>")
+    got = {(r.id1, r.id2): r.dist for r in pairs.block_distances(df.where("id % 10 = 0"), df, "euclidean", block=1, once=True).collect()}
+    assert got == {(i, j): float(j - i) for i in (0, 10, 20) for j in range(i, 30)}
+
+
 def test_gap_patterns_equal_brute_force(spark):
     r = random.Random(6)
     rows = [(t, s, r.randint(1, 3)) for t in range(8) for s in r.sample(range(60), 9)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklode.functions import arrays as A
-from tracklode.operators import areas, density, grid, hotspot, kmeans, lsh, profile, sequences, skew
+from tracklode.operators import areas, density, grid, hotspot, kmeans, lsh, meanshift, pairs, profile, sequences, skew
 from tracklode.operators import dbscan as db
 from tracklode.operators.graph import connected_components
 from tracklode.plans import pipeline
@@ -219,13 +219,8 @@ def first_cell_owner(spark, sf_dir):
 )
 def rv_distances(spark, sf_dir):
     """RV distances of a stated query set (every fiftieth id) to all rows, a block of queries at a time."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    block = 1_000  # queries that meet a row together
-    ask = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id1"), F.col("v").alias("a"), F.floor(F.col("vec_id") / (50 * block)).alias("block"))
-    rows = e.select(F.col("vec_id").alias("id2"), F.col("v").alias("b"))
-    blocks = ask.select("block").distinct()
-    met = rows.crossJoin(F.broadcast(blocks)).join(ask, "block").where("id1 <= id2")
-    return met.select("id1", "id2", F.round(A.rv("a", "b"), 6).alias("dist"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return pairs.block_distances(e.where("id % 50 = 0"), e, "RV", once=True).withColumn("dist", F.round("dist", 6))
 
 
 @query(
@@ -391,6 +386,19 @@ def transition_clusters(spark, sf_dir):
     return sequences.cluster_transitions(sequences.transitions(_instances(spark, sf_dir)), bandwidth=200.0, merge_window=1.0, max_iterations=30)
 
 
+@query("transition_dbscan")
+def transition_dbscan(spark, sf_dir):
+    return sequences.cluster_transitions_dbscan(sequences.transitions(_instances(spark, sf_dir)), eps=40.0, min_pts=3)
+
+
+@query("transition_vectors")
+def transition_vectors(spark, sf_dir):
+    """Mean shift on hash slices over the transitions of all patterns of two areas."""
+    tr = sequences.transitions(_instances(spark, sf_dir)).where("length = 2")
+    points = tr.select(F.concat_ws("|", "pattern", F.col("traj").cast("string"), F.col("n").cast("string")).alias("id"), "v")
+    return sequences.cluster_vectors(points, 6, iterations=3)
+
+
 @query("pattern_pipeline")
 def pattern_pipeline(spark, sf_dir):
     """Points of traj_points to areas by activity and mode, patterns and clustered transitions."""
@@ -588,6 +596,12 @@ def bisecting_tree(spark, sf_dir):
     return kmeans.nodes_table(spark, nodes)
 
 
+@query("projection_hash", "SELECT vec_id, round((%s + 7 * 0.5) / 2.0, 6) AS h FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)" % " + ".join(f"v[{i + 1}] * {a!r}" for i, a in enumerate(meanshift.tab_hash(7, 64, 3).tolist())))
+def projection_hash(spark, sf_dir):
+    h = meanshift.hash_column("v", meanshift.tab_hash(7, 64, 3), 0.5, 2.0, 7)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", F.round(h, 6).alias("h"))
+
+
 @query("mslsh_areas")
 def mslsh_areas(spark, sf_dir):
     return areas.discover("MSLSH", read(spark, sf_dir, "embeddings"), "vec_id", vec="embedding", dim=64, iterations=4, slices=5, epsilon2=0.5, epsilon3=0.5)

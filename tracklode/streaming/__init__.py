@@ -1,0 +1 @@
+"""Nothing streams here: the data model is bounded batches throughout."""
