@@ -21,6 +21,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+USABLE = "u AS (SELECT rid, min(features) AS f FROM point_features WHERE rid IS NOT NULL AND len(features) = 16 AND len(list_filter(features, lambda x: x IS NOT NULL AND isfinite(x))) = 16 GROUP BY rid)"
+
+
+def _patterns_sql(columns: str, longest: int = 8) -> str:
+    """Level by level, each level grown from the frequent patterns of the last; patterns of more than
+    `longest` areas would be missing."""
+    out = """WITH i AS (SELECT DISTINCT d_0 AS d, x.time AS t, x.area_id AS a FROM (SELECT d_0, unnest(items) AS x FROM traj_items WHERE d_0 IS NOT NULL) WHERE x.time >= 0 AND x.area_id > 0),
+    nd AS (SELECT greatest(1, ceil(0.08 * count(DISTINCT d_0) - 1e-9)) AS need FROM traj_items), f1 AS (SELECT a FROM i, nd GROUP BY a, need HAVING count(DISTINCT d) >= need), j AS (SELECT d, t, a FROM i SEMI JOIN f1 USING (a)), g1 AS (SELECT CAST(a AS VARCHAR) AS p, d, t AS last FROM j)"""
+    for k in range(2, longest + 1):
+        out += f""", c{k} AS (SELECT DISTINCT g.p || ',' || j.a AS p, g.d, j.t AS last FROM g{k - 1} g JOIN j ON j.d = g.d AND j.t > g.last AND j.t - g.last <= 800),
+    f{k} AS (SELECT p, count(DISTINCT d) AS support FROM c{k}, nd GROUP BY p, need HAVING count(DISTINCT d) >= need), g{k} AS (SELECT c.* FROM c{k} c SEMI JOIN f{k} USING (p))"""
+    return out + " " + " UNION ALL ".join(f"SELECT {columns} FROM f{k}" for k in range(2, longest + 1))
+
+
 @query(
     "p4_found",
     """WITH RECURSIVE e AS (SELECT DISTINCT rid_a AS a, rid_b AS b FROM match_pairs WHERE rid_a IS NOT NULL AND rid_b IS NOT NULL),
@@ -38,34 +52,52 @@ def p7_ids(spark, sf_dir):
     return tokens.encode(read(spark, sf_dir, "documents"))
 
 
-@query("p3_found")
+@query(
+    "p3_found",
+    f"""WITH {USABLE}, p AS (SELECT a.rid AS a, b.rid AS b, list_distance(a.f, b.f) AS d FROM u a JOIN u b ON a.rid <> b.rid AND abs(a.f[1] - b.f[1]) <= 2.501), n AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p WHERE d <= 2.5)
+    SELECT DISTINCT least(a, b) AS rid_a, greatest(a, b) AS rid_b FROM n WHERE r <= 5""",
+)
 def p3_found(spark, sf_dir):
     return neighbours.neighbour_pairs(read(spark, sf_dir, "point_features"))
 
 
-@query("p2_found")
+@query("p2_found", _patterns_sql("p AS pattern"))
 def p2_found(spark, sf_dir):
     return subsequences.frequent_patterns(read(spark, sf_dir, "traj_items")).select("pattern")
 
 
-@query("p2_supports")
+@query("p2_supports", _patterns_sql("p AS pattern, support"))
 def p2_supports(spark, sf_dir):
     """Every frequent pattern with the number of trajectories that support it."""
     return subsequences.frequent_patterns(read(spark, sf_dir, "traj_items"))
 
 
-@query("p6_found")
+SETS = """s AS (SELECT rid, side, min(list_sort(list_distinct(list_filter(features, lambda x: x IS NOT NULL)))) AS f FROM (SELECT rid, features, 0 AS side FROM set_features UNION ALL SELECT rid, features, 1 FROM area_sets) WHERE rid IS NOT NULL AND len(list_filter(features, lambda x: x IS NOT NULL)) > 0 GROUP BY rid, side),
+    t AS (SELECT rid, side, len(f) AS n, unnest(f) AS x FROM s), c AS (SELECT a.rid AS ra, b.rid AS rb, any_value(a.side) + any_value(b.side) AS sides, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.rid < b.rid AND a.n >= 0.6 * b.n - 0.001 AND b.n >= 0.6 * a.n - 0.001 GROUP BY 1, 2)"""
+
+
+@query("p6_found", f"WITH {SETS} SELECT ra AS rid_a, rb AS rid_b FROM c WHERE c / (na + nb - c) >= 0.6 AND sides < 2")
 def p6_found(spark, sf_dir):
     return setjoin.similar_pairs(read(spark, sf_dir, "set_features"), read(spark, sf_dir, "area_sets"))
 
 
-@query("p6_links")
+@query(
+    "p6_links",
+    f"""WITH {SETS}, g AS (SELECT f, min(rid) AS class_rid, count(*) AS n_class FROM s GROUP BY f), m AS (SELECT s.rid, g.class_rid, g.n_class FROM s JOIN g ON s.f = g.f),
+    l AS (SELECT class_rid, count(DISTINCT o) AS n_links FROM (SELECT x.class_rid, y.class_rid AS o FROM c JOIN m x ON x.rid = ra JOIN m y ON y.rid = rb WHERE c / (na + nb - c) >= 0.6 UNION ALL SELECT y.class_rid, x.class_rid FROM c JOIN m x ON x.rid = ra JOIN m y ON y.rid = rb WHERE c / (na + nb - c) >= 0.6) WHERE class_rid <> o GROUP BY 1)
+    SELECT m.rid, m.class_rid, m.n_class, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN l USING (class_rid)""",
+)
 def p6_links(spark, sf_dir):
     """One row per record: its group of equal sets and how many other sets are similar to it."""
     return setjoin.similarity_links(read(spark, sf_dir, "set_features"), read(spark, sf_dir, "area_sets"))
 
 
-@query("p1_found")
+@query(
+    "p1_found",
+    f"""WITH RECURSIVE {USABLE}, e AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid <> b.rid AND abs(a.f[1] - b.f[1]) <= 1.001 AND list_distance(a.f, b.f) <= 1.0),
+    r(rid, g) AS (SELECT rid, rid FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.rid AND r.g < e.b), c AS (SELECT rid, min(g) AS g FROM r GROUP BY rid)
+    SELECT rid, g AS cluster_rid FROM c WHERE g IN (SELECT g FROM c GROUP BY g HAVING count(*) >= 8)""",
+)
 def p1_found(spark, sf_dir):
     return communities.cluster_members(read(spark, sf_dir, "point_features"))
 
