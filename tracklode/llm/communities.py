@@ -226,7 +226,7 @@ def neighbour_graph(scratch: Scratch, reps: DataFrame, n: int, dim: int, limit:
     return scratch.table(tidy(edges.unionByName(tidy(more))))
 
 
-def communities(scratch: Scratch, edges: DataFrame, rounds: tuple[int, ...] = (3, 3, 2)) -> DataFrame:
+def communities(scratch: Scratch, edges: DataFrame, rounds: tuple[int, ...] = (4, 4, 3)) -> DataFrame:
     """(id, c) of every vertex of (a, b, w): its community after parallel modularity moves.
 
     rounds: moves before and after each contraction. A vertex moves to the neighbouring community of
