@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklode.functions.groups import by_key, group_bounds, whole_groups
+from tracklode.functions.ids import number_rows
 from tracklode.operators.graph import connected_components
 from tracklode.operators.profile import histogram
 from tracklode.runtime import Scratch, is_finite
@@ -134,11 +135,14 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_n
                 yield pa.RecordBatch.from_arrays([v.take(pa.array(np.concatenate(a_all))), v.take(pa.array(np.concatenate(b_all)))], names=["a", "b"])
 
     e = by_key(_copies(named.where("core"), dims, eps), "cell").mapInArrow(links, "a array<double>, b array<double>")
-    comp = scratch.table(connected_components(e).select(F.col("id").alias("v"), "component"))
-    from tracklode.functions.ids import number_rows
-
-    ids = number_rows(comp.select("component").distinct(), ["component"], "cluster", 1)
-    cores = scratch.table(comp.join(ids, "component").select("v", "cluster"))
+    # each cell names its parts by a member; parts are joined where a border copy lies in several
+    e = scratch.table(e)
+    own = e.groupBy("a").agg(F.min("b").alias("part"))
+    joined = e.join(own, "a").select(F.col("part").alias("a"), F.col("b")).distinct()
+    parts = connected_components(joined).select(F.col("id").alias("part"), "component")
+    comp = scratch.table(own.join(parts, "part").select(F.col("a").alias("v"), "component"))
+    first = comp.groupBy("component").agg(F.min("v").alias("first"))
+    cores = scratch.table(comp.join(number_rows(first, ["first"], "cluster", 1).select("component", "cluster"), "component").select("v", "cluster"))
     rest = named.where("NOT core").select("v", F.lit(None).cast("bigint").alias("cluster"))
 
     def border(batches):
