@@ -249,7 +249,9 @@ def communities(scratch: Scratch, edges: DataFrame, rounds: tuple[int, ...] = (4
             pick = options.select("src", "c", "mine", "k", gain.alias("gain")).where((F.col("c") == F.col("mine")) | may)
             # the largest gain; on ties the own community, then the smaller name
             best = pick.groupBy("src").agg(F.first("k").alias("k"), F.min(F.struct(-F.round("gain", 9), F.col("c") != F.col("mine"), "c")).alias("m"))
-            label = scratch.table(best.select(F.col("src").alias("id"), F.col("m.c").alias("c"), "k"))
+            moved = scratch.table(best.select(F.col("src").alias("id"), F.col("m.c").alias("c"), "k"))
+            scratch.drop(label)
+            label = moved
         if whole is None:
             whole = label.select("id", "c")
         else:
@@ -257,7 +259,9 @@ def communities(scratch: Scratch, edges: DataFrame, rounds: tuple[int, ...] = (4
         if stage + 1 < len(rounds):
             to = label.select(F.col("id").alias("src"), F.col("c").alias("cs"))
             up = label.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
-            sym = scratch.table(sym.join(to, "src").join(up, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
+            joined = scratch.table(sym.join(to, "src").join(up, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
+            scratch.drop(sym)
+            sym = joined
     return scratch.table(whole)
 
 
