@@ -1,6 +1,7 @@
 """Core operators on small fixtures with known answers and against brute force."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from tracklode.functions.ids import number_rows
 from tracklode.operators import areas, density, grid, hotspot, kmeans, lsh, meanshift, profile, sequences, skew
 from tracklode.operators import dbscan as db
 from tracklode.operators import graph
+from tracklode.plans import catalog
 
 
 # ---- skew ----
@@ -443,3 +445,20 @@ def test_gi_star_equals_brute_force(spark):
 def test_unknown_area_method(spark):
     with pytest.raises(ValueError):
         areas.discover("NOPE", spark.range(1), "id")
+
+
+def test_gap_patterns_of_any_length(spark):
+    # 30 trajectories walk 1 … 7 with pauses of at most 10; 900 is long and is cut at its pauses
+    rows = [(t, 10 * k, k + 1) for t in range(30) for k in range(7)] + [(900, 1000 * j + 9 * k, k + 1) for j in range(20) for k in range(7)]
+    ev = _visits(spark, rows)
+    whole, cut = ({tuple(x.pattern): x.support for x in sequences.gap_patterns(ev, 0.9, 10, 100, long=n).collect()} for n in (10_000, 20))
+    # every step is exactly 10 (9 in the long one), so only neighbours follow each other
+    assert whole == cut == {tuple(range(a, z + 1)): 31 for a in range(1, 8) for z in range(a + 1, 8)}
+
+
+def test_pattern_pipeline_is_not_cut_by_length(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    lengths = [r.length for r in catalog.pattern_pipeline(spark, sf).select("length").collect()]
+    assert {n: lengths.count(n) for n in (4, 5, 6)} == {4: 440, 5: 255, 6: 59} and max(lengths) == 6 and len(lengths) == 1220

@@ -348,8 +348,8 @@ def gap_patterns_len3(spark, sf_dir):
 
 @query("gap_patterns_all", _gap_sql(4))
 def gap_patterns_all(spark, sf_dir):
-    """All frequent patterns of up to four areas."""
-    return _gap(spark, sf_dir, 4)
+    """All frequent patterns, however long."""
+    return _gap(spark, sf_dir, 100)
 
 
 @query(
@@ -403,7 +403,7 @@ def transition_vectors(spark, sf_dir):
 def pattern_pipeline(spark, sf_dir):
     """Points of traj_points to areas by activity and mode, patterns and clustered transitions."""
     p = pipeline.nominal_areas_input(read(spark, sf_dir, "traj_points"), [], ["d_6", "d_7"])
-    run = pipeline.mine(p, "MINHASHLSH", {"active": "active", "ab": AB, "threshold": 0.5, "pairwise": True}, max_length=3, max_iterations=20)
+    run = pipeline.mine(p, "MINHASHLSH", {"active": "active", "ab": AB, "threshold": 0.5, "pairwise": True})
     return run.patterns.select(sequences.pattern_text().alias("pattern"), "length", "support")
 
 
