@@ -460,5 +460,19 @@ def test_pattern_pipeline_is_not_cut_by_length(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("test tables are not here")
-    lengths = [r.length for r in catalog.pattern_pipeline(spark, sf).select("length").collect()]
+    rows = catalog.pattern_pipeline(spark, sf).collect()
+    lengths = [r.length for r in rows]
     assert {n: lengths.count(n) for n in (4, 5, 6)} == {4: 440, 5: 255, 6: 59} and max(lengths) == 6 and len(lengths) == 1220
+    # every pattern went through instances, transitions and mean shift
+    assert all(0 <= r.n_unplaced <= r.n_transitions and r.n_clusters <= r.n_transitions - r.n_unplaced for r in rows)
+    assert sum(r.n_transitions > 0 and r.n_clusters > 0 for r in rows) > 1000 and sum(r.n_unplaced for r in rows) > 0
+
+
+def test_local_mean_shift_with_missing_coordinates_and_many_parts():
+    r = np.random.default_rng(5)
+    x = np.array([[0.0, 0.0], [900.0, 0.0], [0.0, 900.0]])[r.integers(0, 3, 700)] + r.normal(0, 5, (700, 2))
+    want = meanshift.local_mean_shift(x, 100.0, 0.001)
+    assert set(want) == {0, 1, 2} and all(len(set(want[(np.abs(x - m) < 50).all(1)])) == 1 for m in ([0, 0], [900, 0], [0, 900]))
+    holes = np.insert(x, [0, 350, 700], [[np.nan, 0.0], [1.0, np.inf], [np.nan, np.nan]], axis=0)
+    got = meanshift.local_mean_shift(holes, 100.0, 0.001)
+    assert (got[~np.isfinite(holes).all(1)] == -1).all() and (got[np.isfinite(holes).all(1)] == want).all()

@@ -401,10 +401,10 @@ def transition_vectors(spark, sf_dir):
 
 @query("pattern_pipeline")
 def pattern_pipeline(spark, sf_dir):
-    """Points of traj_points to areas by activity and mode, patterns and clustered transitions."""
+    """Points of traj_points to areas by activity and mode, patterns, and their clustered transitions counted."""
     p = pipeline.nominal_areas_input(read(spark, sf_dir, "traj_points"), [], ["d_6", "d_7"])
     run = pipeline.mine(p, "MINHASHLSH", {"active": "active", "ab": AB, "threshold": 0.5, "pairwise": True})
-    return run.patterns.select(sequences.pattern_text().alias("pattern"), "length", "support")
+    return pipeline.summary(run)
 
 
 # ---- hotspots ----
