@@ -476,3 +476,12 @@ def test_local_mean_shift_with_missing_coordinates_and_many_parts():
     holes = np.insert(x, [0, 350, 700], [[np.nan, 0.0], [1.0, np.inf], [np.nan, np.nan]], axis=0)
     got = meanshift.local_mean_shift(holes, 100.0, 0.001)
     assert (got[~np.isfinite(holes).all(1)] == -1).all() and (got[np.isfinite(holes).all(1)] == want).all()
+
+
+def test_rv_queries_meet_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    ids = [r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+    got = {(r.id1, r.id2) for r in catalog.QUERIES["rv_query_distances"](spark, sf).collect()}
+    assert got == {(q, i) for q in ids if q % 50 == 0 for i in ids}

@@ -223,6 +223,18 @@ def rv_distances(spark, sf_dir):
     return pairs.block_distances(e.where("id % 50 = 0"), e, "RV", once=True).withColumn("dist", F.round("dist", 6))
 
 
+@query(
+    "rv_query_distances",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT a.vec_id AS id1, b.vec_id AS id2, round(1 - list_dot_product(a.v, b.v) ** 2 / (list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS dist FROM e a JOIN e b ON a.vec_id % 50 = 0""",
+)
+def rv_query_distances(spark, sf_dir):
+    """RV distances of each query (every fiftieth id) to every row, also those of a smaller id, which
+    rv_distances and its SQL leave out."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return pairs.block_distances(e.where("id % 50 = 0"), e, "RV").withColumn("dist", F.round("dist", 6))
+
+
 @query(
     "vector_algebra",
     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
