@@ -485,3 +485,22 @@ def test_rv_queries_meet_all_rows(spark):
     ids = [r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
     got = {(r.id1, r.id2) for r in catalog.QUERIES["rv_query_distances"](spark, sf).collect()}
     assert got == {(q, i) for q in ids if q % 50 == 0 for i in ids}
+
+
+def test_transition_vectors_of_every_length(spark):
+    r = np.random.default_rng(8)
+    rows = [(n, f"{n}-{i}", list(map(float, np.tile([0.0, 0.0, 0.0] if i % 2 else [50.0, 50.0, 0.0], n) + r.normal(0, 0.1, 3 * n)))) for n, m in ((2, 200), (3, 40), (4, 2)) for i in range(m)]
+    got = sequences.cluster_vectors_by_length(spark.createDataFrame(rows, "length int, id string, v array<double>"), 3, iterations=3).collect()
+    assert sorted((x.length, x.id) for x in got) == sorted(x[:2] for x in rows)
+    for n in (2, 3):
+        sides = [{x.cluster for x in got if x.length == n and int(x.id.split("-")[1]) % 2 == side} for side in (0, 1)]
+        assert not sides[0] & sides[1]
+
+
+def test_transition_vectors_query_keeps_all_transitions(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    got = {(x.length, x.id) for x in catalog.transition_vectors(spark, sf).collect()}
+    want = {(x.length, f"{x.pattern}|{x.traj}|{x.n}") for x in catalog.transitions(spark, sf).select("length", "pattern", "traj", "n").collect()}
+    assert got == want and {n for n, _ in got} == {2, 3}

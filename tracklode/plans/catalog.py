@@ -378,9 +378,9 @@ def ungapped_prefixspan(spark, sf_dir):
     return found.select(F.array_join(F.transform("sequence", lambda s: F.array_join(F.transform(F.array_sort(s), lambda x: x.cast("string")), " ")), "|").alias("pattern"), "freq")
 
 
-def _instances(spark, sf_dir):
+def _instances(spark, sf_dir, most=3):
     v = event_visits(spark, sf_dir)
-    return sequences.pattern_instances(v, sequences.gap_patterns(v, 0.4, HALF_DAY_US, 3), HALF_DAY_US, 3)
+    return sequences.pattern_instances(v, sequences.gap_patterns(v, 0.4, HALF_DAY_US, most), HALF_DAY_US, 3)
 
 
 @query("pattern_instances")
@@ -405,10 +405,10 @@ def transition_dbscan(spark, sf_dir):
 
 @query("transition_vectors")
 def transition_vectors(spark, sf_dir):
-    """Mean shift on hash slices over the transitions of all patterns of two areas."""
-    tr = sequences.transitions(_instances(spark, sf_dir)).where("length = 2")
-    points = tr.select(F.concat_ws("|", "pattern", F.col("traj").cast("string"), F.col("n").cast("string")).alias("id"), "v")
-    return sequences.cluster_vectors(points, 6, iterations=3)
+    """Mean shift on hash slices over the transitions of all patterns, those of each length on their own."""
+    tr = sequences.transitions(_instances(spark, sf_dir, 100))
+    points = tr.select("length", F.concat_ws("|", "pattern", F.col("traj").cast("string"), F.col("n").cast("string")).alias("id"), "v")
+    return sequences.cluster_vectors_by_length(points, 3, iterations=3)
 
 
 @query("pattern_pipeline")
