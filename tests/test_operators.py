@@ -504,3 +504,19 @@ def test_transition_vectors_query_keeps_all_transitions(spark):
     got = {(x.length, x.id) for x in catalog.transition_vectors(spark, sf).collect()}
     want = {(x.length, f"{x.pattern}|{x.traj}|{x.n}") for x in catalog.transitions(spark, sf).select("length", "pattern", "traj", "n").collect()}
     assert got == want and {n for n, _ in got} == {2, 3}
+
+
+def test_nearest_rows_however_far(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(0, 0.2, (60, 2)), r.uniform(-40, 40, (40, 2)), [[5000.0, 5000.0]], np.full((30, 2), 1.0)])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], "x double, y double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    n = (d <= 0.5).sum(1)
+    np.fill_diagonal(d, np.inf)
+    want = d.min(1)
+    for few in (0, 5, 1_000):
+        got = {tuple(p.v): (p.w, p.nearest) for p in db.nearest_distances(df, ["x", "y"], 0.5, few).collect()}
+        assert all(got[tuple(p)][1] == pytest.approx(w) for p, w in zip(x, want)) and sum(w for w, _ in got.values()) == len(x)
+    h = [p["count"] for p in db.nearest_row_histogram(df, ["x", "y"], 0.5).orderBy("lo").collect()]
+    assert h == np.histogram(want, 16)[0].tolist() and sum(h) == len(x)
+    assert [p["count"] for p in db.within_eps_row_histogram(df, ["x", "y"], 0.5).orderBy("lo").collect()] == np.histogram(np.where(n == 1, 0, n), 16)[0].tolist()

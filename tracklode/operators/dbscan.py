@@ -24,6 +24,8 @@ from tracklode.runtime import Scratch, is_finite
 BLOCK = 4_000_000
 #: Width of a cell in radii: wider cells need fewer border copies and more comparisons.
 SIDE = 4
+#: Points far from all others that are compared with every point.
+FEW = 1_000
 
 
 def vertices(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -69,7 +71,8 @@ def _matrix(t: pa.Table, dims: int) -> np.ndarray:
 
 def neighbour_counts(points: DataFrame, dims: int, eps: float) -> DataFrame:
     """(v, w, n, nearest): n rows within eps of each vertex (its own included) and the distance to the
-    nearest other vertex within eps (0 where the vertex has several rows, null without one)."""
+    nearest other vertex within eps (0 where the vertex has several rows, null without one). With a
+    column ask only for the vertices where it is true."""
 
     def run(batches):
         for t in whole_groups(batches, "cell"):
@@ -88,7 +91,11 @@ def neighbour_counts(points: DataFrame, dims: int, eps: float) -> DataFrame:
             at = pa.array(np.flatnonzero(home))
             yield pa.RecordBatch.from_arrays([t["v"].combine_chunks().take(at), t["w"].combine_chunks().take(at), pa.array(n[home]), pa.array(near[home], from_pandas=True)], names=["v", "w", "n", "nearest"])
 
-    return by_key(_copies(points, dims, eps), "cell").mapInArrow(run, "v array<double>, w bigint, n bigint, nearest double")
+    copies = _copies(points, dims, eps)
+    if "ask" in points.columns:
+        copies = copies.withColumn("home", F.col("home") & F.col("ask")).drop("ask")
+        copies = copies.join(copies.where("home").select("cell").distinct(), "cell", "left_semi")
+    return by_key(copies, "cell").mapInArrow(run, "v array<double>, w bigint, n bigint, nearest double")
 
 
 def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_noise: bool = False) -> DataFrame:
@@ -225,6 +232,55 @@ def nearest_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int =
     return histogram(neighbour_counts(vertices(df, cols), len(cols), eps), "nearest", buckets)
 
 
+def nearest_distances(df: DataFrame, cols: list[str], eps: float, few: int = FEW) -> DataFrame:
+    """(v, w, nearest): distance of each distinct point to the nearest other row, however far; null only
+    if there is no other row.
+
+    Points without a neighbour within eps are asked again with eps doubled; the last `few` of them meet
+    all points, held by every task.
+    """
+    dims, scratch = len(cols), Scratch(df.sparkSession, "nearest")
+    pts = scratch.table(vertices(df, cols))
+    got = scratch.table(neighbour_counts(pts, dims, eps).select("v", "w", "nearest"))
+    done, left = got.where("nearest IS NOT NULL"), got.where("nearest IS NULL").select("v", "w")
+    while left.count() > few:
+        eps *= 2
+        asked = pts.join(left.select("v", F.lit(True).alias("ask")), "v", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        got = scratch.table(neighbour_counts(asked, dims, eps).select("v", "w", "nearest"))
+        done, left = done.unionByName(got.where("nearest IS NOT NULL")), got.where("nearest IS NULL").select("v", "w")
+    rest = left.collect()
+    if not rest:
+        return done
+    ask = np.array([r["v"] for r in rest], float)
+
+    def run(batches):
+        best = np.full(len(ask), np.inf)
+        for b in batches:
+            x = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dims)
+            for s in range(0, len(x), max(1, BLOCK // len(ask))):
+                part = x[s : s + max(1, BLOCK // len(ask))]
+                d2 = sum((ask[:, a][:, None] - part[None, :, a]) ** 2 for a in range(dims))
+                same = (ask[:, None, :] == part[None]).all(2)
+                best = np.minimum(best, np.where(same, np.inf, d2).min(1))
+        ok = np.flatnonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ok, pa.int64()), pa.array(np.sqrt(best[ok]))], names=["i", "d"])
+
+    near = pts.select("v").mapInArrow(run, "i bigint, d double").groupBy("i").agg(F.min("d").alias("nearest"))
+    named = df.sparkSession.createDataFrame([(i, r["v"], r["w"]) for i, r in enumerate(rest)], "i bigint, v array<double>, w bigint")
+    return done.unionByName(named.join(near, "i", "left").select("v", "w", "nearest"))
+
+
+def within_eps_row_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int = 16) -> DataFrame:
+    """within_eps_histogram with every row counted."""
+    n = neighbour_counts(vertices(df, cols), len(cols), eps).select(F.when(F.col("n") == 1, 0).otherwise(F.col("n")).alias("n"), "w")
+    return histogram(n, "n", buckets, "w")
+
+
+def nearest_row_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int = 16) -> DataFrame:
+    """(lo, hi, count) of the distance from each row to the nearest other one, however far."""
+    return histogram(nearest_distances(df, cols, eps), "nearest", buckets, "w")
+
+
 def even_split(cells: list[tuple[tuple[float, float, float, float], int]], most: int, size: float) -> list[tuple[tuple[float, float, float, float], int]]:
     """Splits the bounding box of counted rectangles (x1, y1, x2, y2) until each part holds at most
     `most` points or can't be halved on the grid of `size`; every cut is the one that comes closest to

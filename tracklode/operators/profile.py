@@ -120,13 +120,14 @@ def mixed_centroid(df: DataFrame, group: str, numeric: list[str], nominal: list[
     return out
 
 
-def histogram(df: DataFrame, col: str, buckets: int = 16) -> DataFrame:
+def histogram(df: DataFrame, col: str, buckets: int = 16, weight: str | None = None) -> DataFrame:
     """(lo, hi, count): equal-width buckets over the range of col; the last one includes the maximum,
-    empty buckets count 0, a single value gives one bucket. Nulls are left out; no values, no rows."""
-    v = df.select(F.col(col).cast("double").alias("_v")).where(is_finite(F.col("_v")))
+    empty buckets count 0, a single value gives one bucket. Nulls are left out; no values, no rows.
+    weight: the column with the number of rows each value stands for."""
+    v = df.select(F.col(col).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w")).where(is_finite(F.col("_v")))
     span = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_lo IS NOT NULL")
     width = (F.col("_hi") - F.col("_lo")) / buckets
     at = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).cast("int")
-    counts = v.crossJoin(F.broadcast(span)).groupBy(at.alias("_b")).count()
+    counts = v.crossJoin(F.broadcast(span)).groupBy(at.alias("_b")).agg(F.sum("_w").alias("count"))
     every = span.select("_lo", "_hi", F.explode(F.when(F.col("_hi") == F.col("_lo"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(buckets - 1)))).alias("_b"))
     return every.join(F.broadcast(counts), "_b", "left").select((F.col("_lo") + F.col("_b") * width).alias("lo"), F.when((F.col("_b") == buckets - 1) | (F.col("_hi") == F.col("_lo")), F.col("_hi")).otherwise(F.col("_lo") + (F.col("_b") + 1) * width).alias("hi"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))

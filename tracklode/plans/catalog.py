@@ -527,6 +527,21 @@ def nn_distance_hist(spark, sf_dir):
     return db.nearest_histogram(event_points(spark, sf_dir), ["x", "y"], EPS).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "count")
 
 
+def _row_hist_sql(h: str) -> str:
+    return f"""WITH {NB}, h AS ({h}), s AS (SELECT min(c) AS lo, max(c) AS hi FROM h), b AS (SELECT CAST(least(floor((c - lo) / ((hi - lo) / 16)), 15) AS INT) AS b, CAST(sum(w) AS BIGINT) AS n FROM h, s GROUP BY 1)
+    SELECT round(lo + r.i * ((hi - lo) / 16), 6) AS lo, round(CASE WHEN r.i = 15 THEN hi ELSE lo + (r.i + 1) * ((hi - lo) / 16) END, 6) AS hi, coalesce(n, 0) AS "count" FROM s, range(16) r(i) LEFT JOIN b ON b.b = r.i"""
+
+
+@query("within_eps_row_hist", _row_hist_sql("SELECT CAST(CASE WHEN n = 1 THEN 0 ELSE n END AS DOUBLE) AS c, w FROM nb"))
+def within_eps_row_hist(spark, sf_dir):
+    return db.within_eps_row_histogram(event_points(spark, sf_dir), ["x", "y"], EPS).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "count")
+
+
+@query("nn_distance_row_hist", _row_hist_sql("SELECT d AS c, w FROM nb WHERE d IS NOT NULL UNION ALL SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), any_value(a.w) FROM nb a JOIN vt b ON a.d IS NULL AND (a.x <> b.x OR a.y <> b.y) GROUP BY a.x, a.y"))
+def nn_distance_row_hist(spark, sf_dir):
+    return db.nearest_row_histogram(event_points(spark, sf_dir), ["x", "y"], EPS).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "count")
+
+
 PW = """cells AS (SELECT CAST(ceil(p_size / 5.0) AS BIGINT) AS a, CAST(ceil(p_retailprice / 10.0) AS BIGINT) AS b, count(*) AS n FROM part GROUP BY 1, 2), c AS (SELECT a, b, n, row_number() OVER (ORDER BY n, a, b) AS rk FROM cells WHERE n >= {pts}),
     ln AS (SELECT u.rk AS u, v.rk AS v FROM c u JOIN c v ON abs(u.a - v.a) <= 1 AND abs(u.b - v.b) <= 1 AND u.rk <> v.rk AND v.n >= u.n * {ratio}), r(s, v) AS (SELECT rk, rk FROM c UNION SELECT r.s, ln.v FROM r JOIN ln ON ln.u = r.v), own AS (SELECT v, min(s) AS s FROM r GROUP BY v), seeds AS (SELECT s FROM own WHERE s = v),
     cl AS (SELECT r.s, r.v FROM r JOIN seeds USING (s)), big AS (SELECT s, row_number() OVER (ORDER BY s) AS cluster FROM (SELECT s FROM cl GROUP BY s HAVING count(*) > {cells}))"""
