@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracklode.llm import communities, linking, mixture, neighbours, privacy, setjoin, subsequences, tokens
 from tracklode.runtime import read
 
@@ -61,6 +63,19 @@ def p3_found(spark, sf_dir):
     return neighbours.neighbour_pairs(read(spark, sf_dir, "point_features"))
 
 
+@query(
+    "p3_recall",
+    f"""WITH {USABLE}, q AS (SELECT rid, f FROM u WHERE CAST(split_part(rid, ',', 2) AS BIGINT) % 50 = 0), p AS (SELECT a.rid AS a, count(*) AS n FROM q a JOIN u b ON a.rid <> b.rid AND list_distance(a.f, b.f) <= 2.5 GROUP BY a.rid)
+    SELECT (SELECT count(*) FROM q) AS n_queries, (SELECT CAST(coalesce(sum(least(n, 5)), 0) AS BIGINT) FROM p) AS n_true, true AS reached""",
+)
+def p3_recall(spark, sf_dir):
+    """Second codes forced on every value of more than 64 vectors: the neighbours of a stated query set
+    (every tick divisible by 50) among all records, and whether at least 0.97 of them are found."""
+    asked = F.split("rid", ",")[1].cast("bigint") % 50 == 0
+    r = neighbours.measured_recall(read(spark, sf_dir, "point_features"), asked, heavy=64, leaf=32)
+    return r.select("n_queries", "n_true", (F.col("n_found") >= 0.97 * F.col("n_true")).alias("reached"))
+
+
 @query("p2_found", _patterns_sql("p AS pattern"))
 def p2_found(spark, sf_dir):
     return subsequences.frequent_patterns(read(spark, sf_dir, "traj_items")).select("pattern")

@@ -31,16 +31,19 @@ def classes(points: DataFrame) -> DataFrame:
 def fit_rotation(reps: DataFrame, n: int, dim: int, seed: int, rows: int = FIT_ROWS, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Mean and rotation learned on a bounded sample by hash: principal axes, then the iterative
     quantisation that turns them so that sign codes lose least."""
+    # signs and the order of the sample are fixed, so every machine learns the same rotation
     part = reps if n <= rows else reps.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_003)) < F.lit(int(1_000_003 * rows / n)))
-    x = np.array([r[0] for r in part.select("v").limit(2 * rows).collect()], float).reshape(-1, dim)
+    x = np.array([r[0] for r in part.select("v", "rep").limit(2 * rows).orderBy("rep").collect()], float).reshape(-1, dim)
     if not len(x):
         return np.zeros(dim), np.eye(dim)
     mean = x.mean(0)
     x = x - mean
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1]
+    axes = axes * np.where(np.take_along_axis(axes, np.abs(axes).argmax(0)[None], 0) < 0, -1.0, 1.0)
     y = x @ axes
-    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
+    turn, up = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+    turn = turn * np.where(np.diag(up) < 0, -1.0, 1.0)
     for _ in range(steps):
         a, _, b = np.linalg.svd(np.where(y @ turn >= 0, 1.0, -1.0).T @ y)
         turn = (a @ b).T
