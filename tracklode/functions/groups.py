@@ -40,3 +40,17 @@ def partitions(spark) -> int:
 def by_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows of equal keys next to each other, ready for whole_groups."""
     return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, *order)
+
+
+def leaves(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in parts of at most `most`, halved along the widest dimension."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        axis = int(np.argmax(np.ptp(x[at], axis=0)))
+        at = at[np.argsort(x[at, axis], kind="stable")]
+        todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+    return out
