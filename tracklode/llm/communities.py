@@ -2,16 +2,17 @@
 
 1. Neighbour graph by neighbour descent. Vectors are rotated by a rotation learned on a bounded
    sample and put into wide cells of a few axes, those near a border into the cells beyond it too,
-   so every pair within the distance asked for meets in a cell. In each cell the graph of the k
-   nearest neighbours is found by descent: neighbours of neighbours, forward and reverse, replace
-   worse neighbours until little changes (small cells start with all candidates, which is where
-   descent ends). An exact check follows in the cell: whatever parts of it the graph leaves apart are
-   linked if any pair between them is near enough. A cell with very many vectors is cut into chunks
-   by hash, twice; its parts are checked against the whole cell in blocks afterwards.
-2. Communities by modularity: vertices move in parallel to the neighbouring community of greatest
-   gain, half of them at a time, then communities are contracted and move once more.
-3. Clusters are communities that an edge links, directly or through others. The most typical members
-   of a cluster have the highest weighted degree inside their community.
+   so every pair within the distance asked for meets in a cell. A cell with more rows than the budget
+   is split again, along further axes, then more finely, always with such borders. In every cell the
+   graph of the k nearest neighbours is found by descent: neighbours of neighbours, forward and
+   reverse, replace worse neighbours until little changes. An exact check follows: leaves of the cell
+   that belong to different parts of the graph and lie near enough are compared, and missing links
+   added. What is too dense to split further is cut by hash, twice, and checked in blocks.
+2. Communities by modularity. Vertices first move inside their cell, where nothing has to be sent;
+   the communities found there are contracted, and only these move and contract further as tables.
+3. Clusters are communities that an edge links, directly or through others: a vertex only joins a
+   community along an edge, so none spans two clusters. The most typical members of a cluster have the
+   highest weighted degree inside their community.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracklode.functions.groups import leaves
 from tracklode.llm import vectors as V
 from tracklode.llm.linking import group_ids
 from tracklode.llm.neighbours import _partitions
 from tracklode.runtime import Scratch
 
-#: Neighbours of a vertex; cells up to SMALL start from all candidates; beyond HEAVY they are cut.
-NEIGHBOURS, SMALL, HEAVY = 10, 512, 30_000
+#: Neighbours of a vertex, rows of a cell beyond which it is split, rows of a leaf in the exact check.
+NEIGHBOURS, HEAVY, LEAF = 10, 30_000, 48
+#: Width of a cell in limits, and the axes it spans.
+WIDTH, AXES = 20, 3
 
 
 def descend(x: np.ndarray, k: int, seed: int, rounds: int = 10, stop: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +77,7 @@ def descend(x: np.ndarray, k: int, seed: int, rounds: int = 10, stop: float = 0.
         ok = rank < k
         back[dst[ok], rank[ok]] = src[ok]
         both = np.concatenate([nb, back], axis=1)
-        step = both[:, r.permutation(2 * k)[: max(4, k)]]  # a part of the neighbours is followed each round
+        step = both[:, r.permutation(2 * k)[: max(4, k // 2)]]  # a part of the neighbours is followed each round
         block = max(1, 8_000_000 // ((k + step.shape[1] * 2 * k) * x.shape[1]))
         changed, got = 0, []
         for s in range(0, n, block):
@@ -105,125 +109,215 @@ def parts_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
-def _cells(dim: int, mean, turn, limit: float, width: float, axes: int):
-    """Each vector under its own cell and those beyond a border within reach: (cell, home, rep, v)."""
+def local_communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Community label (a row number) of each of n rows after parallel modularity moves along the
+    edges i, j of weight w. Half of the rows may move in a round; ties go to the own, then the smaller label."""
+    lab = np.arange(n)
+    if not len(i):
+        return lab
+    src, dst, ww = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])
+    k = np.bincount(src, ww, n)
+    total = ww.sum() or 1.0
+    turn = (np.arange(n) * 2654435761 >> 7) & 1
+    for step in range(rounds):
+        to = lab[dst]
+        order = np.lexsort((to, src))
+        a, c, x = src[order], to[order], ww[order]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+        a, c, x = a[head], c[head], np.add.reduceat(x, head)
+        mass = np.bincount(lab, k, n)
+        own = c == lab[a]
+        gain = x - k[a] * (mass[c] - np.where(own, k[a], 0.0)) / total
+        stay = -k * (mass[lab] - k) / total  # of a row without a neighbour in its own community
+        stay[a[own]] = gain[own]
+        best = np.lexsort((c, ~own, -np.round(gain, 9), a))
+        first = best[np.flatnonzero(np.concatenate([[True], a[best][1:] != a[best][:-1]]))]
+        row, move = a[first], c[first]
+        ok = (gain[first] > stay[row] + 1e-9) & (turn[row] == step % 2) & (move != lab[row])
+        if not ok.any() and step:
+            break
+        lab[row[ok]] = move[ok]
+    return lab
+
+
+def missing_links(x: np.ndarray, part: np.ndarray, limit: float, leaf: int = LEAF):
+    """Pairs (i, j, distance) within `limit` whose rows have different parts, all of them: rows lie in
+    leaves halved along the widest axis, and only leaves near each other and not of one and the same
+    part are compared."""
+    rows = leaves(x, leaf)
+    low, high = (np.array([f(x[r], axis=0) for r in rows]) for f in (np.min, np.max))
+    least, most = (np.array([f(part[r]) for r in rows]) for f in (np.min, np.max))
+    out = []
+    for a, r in enumerate(rows):
+        gap = np.maximum(np.maximum(low[a] - high[a:], low[a:] - high[a]), 0.0)
+        near = ((gap * gap).sum(1) <= limit * limit * (1 + 1e-9)) & ~((least[a:] == most[a:]) & (least[a] == most[a]) & (least[a:] == least[a]))
+        met = np.flatnonzero(near) + a
+        if not len(met):
+            continue
+        other = np.concatenate([rows[b] for b in met])
+        i, j, d = V.near_pairs(x[r], x[other], limit)
+        i, j = r[i], other[j]
+        ok = (part[i] != part[j]) & (~np.isin(j, r) | (i < j))
+        out.append((i[ok], j[ok], d[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _levels(dim: int, limit: float) -> list[tuple[list[int], float]]:
+    """(axes, width) of the cells and of each further split: other axes first, then finer ones."""
+    groups = [list(range(s, min(s + AXES, dim))) for s in range(0, dim, AXES)]
+    return [(g, w * limit) for w in (WIDTH, WIDTH / 2, WIDTH / 4) for g in groups]
+
+
+def _cells(dim: int, mean, turn, limit: float, axes: list[int], width: float):
+    """Rows (cell, home, id, v) under their cell inside the one they come from, and as border copies
+    under those within reach."""
     reach = limit * (1 + 1e-9) + 1e-9
 
     def run(batches):
         for b in batches:
-            y = ((V.as_matrix(b.column(1), dim) - mean) @ turn)[:, :axes]
+            y = ((V.as_matrix(b.column(3), dim) - mean) @ turn)[:, axes]
+            before = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            home = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             cell = np.floor(y / width).astype(np.int64)
             off = y - cell * width
             low, high = off <= reach, off >= width - reach
-            for step in itertools.product((0, -1, 1), repeat=axes):
+            for step in itertools.product((0, -1, 1), repeat=len(axes)):
                 s = np.array(step)
                 ok = ((s == 0) | ((s == -1) & low) | ((s == 1) & high)).all(1)
                 if not ok.any():
                     continue
-                h = np.full(int(ok.sum()), 0x9E3779B97F4A7C15, np.uint64)
+                h = before[ok] ^ np.uint64(0x9E3779B97F4A7C15)
                 for c in (cell[ok] + s).astype(np.uint64).T:
                     h = (h ^ c) * np.uint64(0xBF58476D1CE4E5B9)
                     h ^= h >> np.uint64(29)
                 at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), not s.any())), b.column(0).take(at), b.column(1).take(at)], names=["cell", "home", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(home[ok] & (not s.any())), b.column(2).take(at), b.column(3).take(at)], names=["cell", "home", "id", "v"])
 
     return run
 
 
 def _graph(dim: int, k: int, limit: float, seed: int):
-    """Complete cells -> edges (a, b, dist): k nearest of the vectors at home, and links between parts."""
-
-    def one(x, home):
-        n = len(x)
-        if n <= SMALL:
-            i, j, d = V.near_pairs(x, x, limit, None, same=True)
-            o = np.lexsort((j, d, i))
-            i, j, d = i[o], j[o], d[o]
-            near = np.arange(len(i)) - np.searchsorted(i, i) < k
-        else:
-            nb, nd = descend(x, k, seed)
-            ok = nd <= limit
-            i, j, d = np.repeat(np.arange(n), nb.shape[1])[ok.ravel()], nb.ravel()[ok.ravel()], nd.ravel()[ok.ravel()]
-            near = np.ones(len(i), bool)
-        part = parts_of(n, i[near], j[near])
-        near &= home[i] | home[j]
-        if n <= SMALL:
-            link = part[i] != part[j]
-            return i[near | link], j[near | link], d[near | link]
-        labels, size = np.unique(part, return_counts=True)
-        rest = np.flatnonzero(part != labels[size.argmax()])
-        if not len(rest):
-            return i[near], j[near], d[near]
-        li, lj, ld = V.near_pairs(x[rest], x, limit)
-        li = rest[li]
-        ok = part[li] != part[lj]
-        return np.concatenate([i[near], li[ok]]), np.concatenate([j[near], lj[ok]]), np.concatenate([d[near], ld[ok]])
+    """Complete cells -> rows (a, b, dist, ca, cb). With b: an edge of a, at home here; ca and cb are the
+    communities of its ends, null for one that isn't at home here. Without b: the community ca of a."""
+
+    def one(x, home, own):
+        nb, nd = descend(x, k, seed)
+        ok = (nd <= limit).ravel()
+        i, j, d = np.repeat(np.arange(len(x)), nb.shape[1])[ok], nb.ravel()[ok], nd.ravel()[ok]
+        more = missing_links(x, parts_of(len(x), i, j), limit)
+        i, j, d = (np.concatenate(c) for c in zip((i, j, d), more))
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        _, at = np.unique(low * np.int64(len(x)) + high, return_index=True)
+        i, j, d = low[at], high[at], d[at]
+        keep = home[i] | home[j]
+        i, j, d = i[keep], j[keep], d[keep]
+        inside = own[i] & own[j]
+        lab = local_communities(len(x), i[inside], j[inside], 1 - d[inside] / (2 * limit))
+        return i, j, d, lab
 
     def run(batches):
         for t in V.whole_groups(batches, "cell"):
             ends = V.group_bounds(t["cell"].to_numpy())
-            size = np.diff(ends)
-            x, home = V.as_matrix(t["v"].combine_chunks(), dim), t["home"].to_numpy(zero_copy_only=False).astype(bool)
-            out = []
-            for a, n in zip(ends[:-1][size > 1], size[size > 1]):
-                i, j, d = one(x[a : a + n], home[a : a + n])
-                if len(i):
-                    out.append((i + a, j + a, d))
-            if out:
-                i, j, d = (np.concatenate(c) for c in zip(*out))
-                rep = t["rep"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(j)), pa.array(d)], names=["a", "b", "dist"])
+            x, home, own = V.as_matrix(t["v"].combine_chunks(), dim), *(t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "own"))
+            ids = t["id"].to_numpy()
+            a_all, b_all, d_all, ca_all, cb_all = [], [], [], [], []
+            for a, z in zip(ends[:-1], ends[1:]):
+                if z - a < 2 or not home[a:z].any():
+                    continue
+                i, j, d, lab = one(x[a:z], home[a:z], own[a:z])
+                here = ids[a:z]
+                com = here[lab]
+                mine = np.flatnonzero(own[a:z] & np.isin(np.arange(z - a), np.concatenate([i, j])))
+                a_all += [here[i], here[mine]]
+                b_all += [here[j], np.full(len(mine), -1)]
+                d_all += [d, np.zeros(len(mine))]
+                ca_all += [np.where(own[a:z][i], com[i], -1), com[mine]]
+                cb_all += [np.where(own[a:z][j], com[j], -1), np.full(len(mine), -1)]
+            if a_all:
+                cols = [np.concatenate(c) for c in (a_all, b_all, d_all, ca_all, cb_all)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, mask=None if n in (0, 2) else c < 0) for n, c in enumerate(cols)], names=["a", "b", "dist", "ca", "cb"])
 
     return run
 
 
 def _against(dim: int, limit: float):
-    """Complete chunks of heavy cells, with the vectors outside the cell's largest part: links."""
+    """Complete blocks of probes and chunks of what is too dense to split: links between them."""
 
     def run(batches):
         for t in V.whole_groups(batches, "cell"):
             ends = V.group_bounds(t["cell"].to_numpy())
             x, probe = V.as_matrix(t["v"].combine_chunks(), dim), t["probe"].to_numpy(zero_copy_only=False).astype(bool)
-            rep = t["rep"].combine_chunks()
+            ids = t["id"].to_numpy()
             for a, z in zip(ends[:-1], ends[1:]):
                 p, q = np.flatnonzero(probe[a:z]) + a, np.flatnonzero(~probe[a:z]) + a
                 if len(p) and len(q):
                     i, j, d = V.near_pairs(x[p], x[q], limit)
-                    ok = p[i] != q[j]
-                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(p[i][ok])), rep.take(pa.array(q[j][ok])), pa.array(d[ok])], names=["a", "b", "dist"])
+                    ok = ids[p[i]] != ids[q[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[p[i][ok]]), pa.array(ids[q[j][ok]]), pa.array(d[ok])], names=["a", "b", "dist"])
 
     return run
 
 
-def neighbour_graph(scratch: Scratch, reps: DataFrame, n: int, dim: int, limit: float, k: int = NEIGHBOURS, axes: int = 4, width: float | None = None, seed: int = 23, heavy: int = HEAVY) -> DataFrame:
-    """(a, b, dist), a < b: neighbour edges within `limit` whose components are those of all pairs within it."""
-    spark, width = reps.sparkSession, width or 10 * limit
+def neighbour_graph(scratch: Scratch, reps: DataFrame, n: int, dim: int, limit: float, k: int = NEIGHBOURS, seed: int = 23, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """(edges, vertices). edges (a, b, dist, ca, cb), a < b: neighbour edges within `limit` whose components
+    are those of all pairs within it, with the cell communities of their ends. vertices (id, c): the cell
+    community of each vertex that has an edge. reps: id bigint, v."""
+    spark = reps.sparkSession
     mean, turn = V.fit_rotation(reps, n, dim, seed)
-    cells = reps.select("rep", "v").mapInArrow(_cells(dim, mean, turn, limit, width, min(axes, dim)), "cell bigint, home boolean, rep string, v array<double>")
-    big = [tuple(r) for r in cells.groupBy("cell").count().where(F.col("count") > heavy).collect()]  # at most 2 n / heavy
-    schema = "a string, b string, dist double"
-
-    def graph(rows):
-        return rows.repartition(_partitions(spark), "cell").sortWithinPartitions("cell", "rep").mapInArrow(_graph(dim, k, limit, seed), schema)
-
-    def tidy(e):
-        return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").where("a <> b").groupBy("a", "b").agg(F.min("dist").alias("dist"))
-
-    if not big:
-        return scratch.table(tidy(graph(cells)))
-    hot = F.broadcast(spark.createDataFrame(big, "cell bigint, n bigint"))
-    inside = cells.join(hot, "cell").withColumn("chunks", F.ceil(F.col("n") * 2 / heavy))
-    cut = [inside.select(F.xxhash64("cell", F.lit(salt), F.pmod(F.xxhash64("rep", F.lit(salt)), "chunks")).alias("cell"), "home", "rep", "v") for salt in (1, 2)]
-    edges = scratch.table(tidy(graph(cells.join(hot.select("cell"), "cell", "left_anti").unionByName(cut[0]).unionByName(cut[1]))))
-    # exact check of the heavy cells: what lies outside the largest part of a cell against all of it
-    part = group_ids(edges, "a", "b").select(F.col("rid").alias("rep"), F.col("group_rid").alias("part"))
-    held = inside.join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    sizes = held.groupBy("cell", "part").count().groupBy("cell").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
-    rest = held.join(sizes, "cell").where("part <> most").select("cell", "rep", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
-    whole = inside.select("cell", "rep", "v", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), F.lit(False).alias("probe"))
-    both = rest.unionByName(whole).select(F.xxhash64("cell", "chunk").alias("cell"), "probe", "rep", "v")
-    more = both.repartition(_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(_against(dim, limit), schema)
-    return scratch.table(tidy(edges.unionByName(tidy(more))))
+    kind = "cell bigint, home boolean, id bigint, v array<double>"
+    rows = reps.select(F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"), "id", "v")
+    ready, levels = None, _levels(dim, limit)
+    for axes, width in levels:
+        cells = rows.mapInArrow(_cells(dim, mean, turn, limit, axes, width), kind)
+        if n <= heavy:  # no cell can hold more
+            ready = cells if ready is None else ready.unionByName(cells)
+            rows = None
+            break
+        cells = scratch.table(cells)
+        counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
+        hot = scratch.table(counts)
+        done = cells.join(hot, "cell", "left_anti")
+        ready = done if ready is None else ready.unionByName(done)
+        if hot.isEmpty():
+            rows = None
+            break
+        rows = scratch.table(cells.join(hot.select("cell"), "cell", "left_semi"))
+
+    def graph(t):
+        by_cell = t.repartition(_partitions(spark), "cell").sortWithinPartitions("cell", "id")
+        return by_cell.mapInArrow(_graph(dim, k, limit, seed), "a bigint, b bigint, dist double, ca bigint, cb bigint")
+
+    inside = None
+    if rows is None:
+        made = scratch.table(graph(ready.withColumn("own", F.col("home"))))
+    else:  # too dense to split: hash chunks, twice, so that chunks overlap
+        inside = rows.join(hot, "cell").withColumn("chunks", F.ceil(F.col("n") * 2 / heavy))
+        cut = [inside.select(F.xxhash64("cell", F.lit(salt), F.pmod(F.xxhash64("id", F.lit(salt)), "chunks")).alias("cell"), "home", "id", "v", (F.col("home") & F.lit(salt == 1)).alias("own")) for salt in (1, 2)]
+        made = scratch.table(graph(ready.withColumn("own", F.col("home")).unionByName(cut[0]).unionByName(cut[1])))
+    vertices = made.where("b IS NULL").select(F.col("a").alias("id"), F.col("ca").alias("c"))
+    found = made.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist", F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))
+    # an edge with both ends at home in one cell is there once; the others may come from both cells
+    own, cross = found.where("ca IS NOT NULL AND cb IS NOT NULL"), found.where("ca IS NULL OR cb IS NULL").select("a", "b", "dist")
+    if inside is not None:
+        # exact check of the densest cells: what lies outside the largest part of a cell against all of it
+        part = group_ids(found, "a", "b").select(F.col("rid").cast("bigint").alias("id"), F.col("group_rid").alias("part"))
+        held = inside.join(part, "id", "left").withColumn("part", F.coalesce("part", F.col("id").cast("string")))
+        sizes = held.groupBy("cell", "part").count().groupBy("cell").agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("largest"))
+        # blocks of the rest meet chunks of the whole, so no task holds more than one of each
+        blocks = sizes.select("cell", "most", F.ceil((F.col("all") - F.col("largest")) * 2 / heavy).alias("blocks")).where("blocks > 0")
+        sized = scratch.table(held.join(blocks, "cell"))
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+        rest = sized.where("part <> most").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks")).withColumn("chunk", upto("chunks")).withColumn("probe", F.lit(True))
+        whole = sized.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(4)), "chunks")).withColumn("block", upto("blocks")).withColumn("probe", F.lit(False))
+        both = rest.unionByName(whole).select(F.xxhash64("cell", "block", "chunk").alias("cell"), "probe", "id", "v")
+        more = both.repartition(_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(_against(dim, limit), "a bigint, b bigint, dist double")
+        known = found.where("ca IS NOT NULL AND cb IS NOT NULL").select("a", "b")
+        extra = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
+        cross = cross.unionByName(scratch.table(extra.distinct()).join(known, ["a", "b"], "left_anti"))
+    once = cross.groupBy("a", "b").agg(F.min("dist").alias("dist"))
+    ends = once.join(vertices.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(vertices.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left")
+    named = ends.select("a", "b", "dist", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return scratch.table(own.unionByName(named)), vertices
 
 
 def communities(scratch: Scratch, edges: DataFrame, rounds: tuple[int, ...] = (4, 4, 3)) -> DataFrame:
@@ -266,20 +360,21 @@ def communities(scratch: Scratch, edges: DataFrame, rounds: tuple[int, ...] = (4
 
 
 def _clustered(points: DataFrame, dim: int, limit: float, least: int, **graph):
-    """Steps 1 to 3 over distinct vectors: scratch, points, vectors, edges, communities, clusters."""
+    """Steps 1 to 3 over distinct vectors: points, vectors, edges, communities, clusters."""
     scratch = Scratch(points.sparkSession, "clusters")
     pts = scratch.table(V.usable(points, dim))
-    reps = scratch.table(V.classes(pts))
-    edges = neighbour_graph(scratch, reps, reps.count(), dim, limit, **graph).withColumn("w", 1 - F.col("dist") / F.lit(2 * limit))
-    com = communities(scratch, edges)
-    ends = edges.join(com.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-    ends = scratch.table(ends.select("a", "b", "w", "ca", "cb"))
-    joined = group_ids(ends.where("ca <> cb").select("ca", "cb").distinct(), "ca", "cb").select(F.col("rid").alias("c"), "group_rid")
-    named = com.join(joined, "c", "left").select(F.col("id").alias("rep"), "c", F.coalesce("group_rid", "c").alias("g"))
-    vertex = reps.select("rep", "n").join(named, "rep", "left").select("rep", "n", F.coalesce("c", "rep").alias("c"), F.coalesce("g", "rep").alias("g"))
-    vertex = scratch.table(vertex)
+    reps = scratch.table(V.classes(pts).withColumn("id", F.monotonically_increasing_id()))
+    edges, vertices = neighbour_graph(scratch, reps, reps.count(), dim, limit, **graph)
+    edges = edges.withColumn("w", 1 - F.col("dist") / F.lit(2 * limit))
+    # communities of the cells are contracted: sums of edge weights inside and between them
+    inner = scratch.table(edges.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+    com = communities(scratch, inner).select(F.col("id").alias("c0"), "c")
+    joined = group_ids(inner.where("a <> b"), "a", "b").select(F.col("rid").cast("bigint").alias("c0"), F.col("group_rid").cast("bigint").alias("g"))
+    named = scratch.table(com.join(joined, "c0", "left").select("c0", "c", F.coalesce("g", "c0").alias("g")))
+    of = scratch.table(vertices.withColumnRenamed("c", "c0").join(named, "c0", "left").select("id", "c0", F.coalesce("c", "c0").alias("c"), F.coalesce("g", "c0").alias("g")))
+    vertex = scratch.table(reps.select("id", "rep", "n").join(of, "id", "left").select("id", "rep", "n", F.coalesce("c", "id").alias("c"), F.coalesce("g", "id").alias("g")))
     clusters = vertex.groupBy("g").agg(F.sum("n").alias("n_rids"), F.min("rep").alias("cluster_rid")).where(F.col("n_rids") >= least)
-    return scratch, pts, reps, ends, vertex, scratch.table(clusters)
+    return pts, reps, edges, named, vertex, scratch.table(clusters)
 
 
 def cluster_members(points: DataFrame, dim: int = 16, limit: float = 1.0, least: int = 8, **graph) -> DataFrame:
@@ -289,7 +384,7 @@ def cluster_members(points: DataFrame, dim: int = 16, limit: float = 1.0, least:
     count once, equal vectors under different rids are joined. Records of smaller clusters are left
     out; an empty table gives no rows. cluster_rid is the smallest rid of the cluster.
     """
-    _, pts, reps, _, vertex, clusters = _clustered(points, dim, limit, least, **graph)
+    pts, reps, _, _, vertex, clusters = _clustered(points, dim, limit, least, **graph)
     of = vertex.join(clusters, "g").select("rep", "n", "cluster_rid")
     single = of.where("n = 1").select(F.col("rep").alias("rid"), "cluster_rid")
     copies = pts.join(reps.where("n > 1").select("v", "rep"), "v").join(of.select("rep", "cluster_rid"), "rep").select("rid", "cluster_rid")
@@ -299,10 +394,13 @@ def cluster_members(points: DataFrame, dim: int = 16, limit: float = 1.0, least:
 def cluster_summary(points: DataFrame, dim: int = 16, limit: float = 1.0, least: int = 8, typical: int = 5, **graph) -> DataFrame:
     """(cluster_rid, n_rids, n_communities, typical array<string>): the clusters of cluster_members,
     with the rids of highest weighted degree inside their community (ties: the smaller rid)."""
-    _, _, _, ends, vertex, clusters = _clustered(points, dim, limit, least, **graph)
-    inside = ends.where("ca = cb")
-    degree = inside.select(F.col("a").alias("rep"), "w").unionByName(inside.select(F.col("b").alias("rep"), "w")).groupBy("rep").agg(F.sum("w").alias("degree"))
-    ranked = vertex.join(degree, "rep", "left").join(clusters.select("g", "cluster_rid"), "g").select("cluster_rid", "rep", F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    _, _, edges, named, vertex, clusters = _clustered(points, dim, limit, least, **graph)
+    # both ends in one community: most edges lie inside a community of a cell already
+    up = named.select("c0", "c")
+    between = edges.where("ca <> cb").join(up.select(F.col("c0").alias("ca"), F.col("c").alias("xa")), "ca").join(up.select(F.col("c0").alias("cb"), F.col("c").alias("xb")), "cb").where("xa = xb").select("a", "b", "w")
+    inside = edges.where("ca = cb").select("a", "b", "w").unionByName(between)
+    degree = inside.select(F.explode(F.array("a", "b")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("degree"))
+    ranked = vertex.join(degree, "id", "left").join(clusters.select("g", "cluster_rid"), "g").select("cluster_rid", "rep", F.round(F.coalesce("degree", F.lit(0.0)), 9).alias("degree"))
     top = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_rid").orderBy(F.desc("degree"), "rep"))).where(F.col("_r") <= typical)
     names = top.groupBy("cluster_rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "rep"))), lambda e: e["rep"]).alias("typical"))
     n = vertex.groupBy("g").agg(F.count_distinct("c").alias("n_communities"))

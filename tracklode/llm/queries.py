@@ -107,10 +107,13 @@ def p6_links(spark, sf_dir):
     return setjoin.similarity_links(read(spark, sf_dir, "set_features"), read(spark, sf_dir, "area_sets"))
 
 
+CLUSTERS = f"""{USABLE}, e AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid <> b.rid AND abs(a.f[1] - b.f[1]) <= 1.001 AND list_distance(a.f, b.f) <= 1.0),
+    r(rid, g) AS (SELECT rid, rid FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.rid AND r.g < e.b), c AS (SELECT rid, min(g) AS g FROM r GROUP BY rid)"""
+
+
 @query(
     "p1_found",
-    f"""WITH RECURSIVE {USABLE}, e AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid <> b.rid AND abs(a.f[1] - b.f[1]) <= 1.001 AND list_distance(a.f, b.f) <= 1.0),
-    r(rid, g) AS (SELECT rid, rid FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.rid AND r.g < e.b), c AS (SELECT rid, min(g) AS g FROM r GROUP BY rid)
+    f"""WITH RECURSIVE {CLUSTERS}
     SELECT rid, g AS cluster_rid FROM c WHERE g IN (SELECT g FROM c GROUP BY g HAVING count(*) >= 8)""",
 )
 def p1_found(spark, sf_dir):
@@ -123,6 +126,20 @@ def p1_clusters(spark, sf_dir):
     return communities.cluster_summary(read(spark, sf_dir, "point_features"))
 
 
+@query(
+    "p1_profiles",
+    f"""WITH RECURSIVE {CLUSTERS} SELECT c.g AS cluster_rid, count(*) AS n_rids, least(5, count(DISTINCT u.f)) AS n_typical, true AS inside FROM c JOIN u USING (rid) GROUP BY c.g HAVING count(*) >= 8""",
+)
+def p1_profiles(spark, sf_dir):
+    """Sizes of the clusters, how many typical members each is described by (one a distinct vector), and
+    whether all of these are members of it."""
+    points = read(spark, sf_dir, "point_features")
+    found = communities.cluster_summary(points)
+    shown = found.select("cluster_rid", "n_rids", F.size("typical").cast("bigint").alias("n_typical"), F.explode("typical").alias("rid"))
+    member = communities.cluster_members(points).select("rid", F.col("cluster_rid").alias("of"))
+    return shown.join(member, "rid", "left").groupBy("cluster_rid", "n_rids", "n_typical").agg(F.coalesce(F.min(F.col("of") == F.col("cluster_rid")), F.lit(False)).alias("inside"))
+
+
 @query("p8_mixture")
 def p8_mixture(spark, sf_dir):
     """Every use of a document in the mixture of source_targets."""
