@@ -9,51 +9,56 @@ a rid that ends one partition and starts the next is counted once.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklode.runtime import Scratch
+
 STATE = "part int, entry int, hashValue bigint, n_rows bigint, n_rids bigint, first_rid string, last_rid string"
 
 
 def _fold(batches):
-    """Sorted Arrow batches of one partition -> one partial state per key."""
+    """Sorted Arrow batches of one partition -> one partial state per key; the last key of a batch is
+    held back until the next one shows whether it goes on."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    out, cur = [], None  # cur: [entry, hash, rows, rids, first, last]
+    names = ["part", "entry", "hashValue", "n_rows", "n_rids", "first_rid", "last_rid"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    held = None  # [part, entry, hash, rows, rids, first, last]
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        cols = [b.column(i) for i in range(3)]
+        e, h, rid = (b.column(i) for i in range(3))
+        en, hn = e.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        new_key = np.concatenate([[True], (en[1:] != en[:-1]) | (hn[1:] != hn[:-1])])
+        new_rid = new_key.copy()
         if n > 1:
-            new_key = pc.or_(pc.not_equal(cols[0][1:], cols[0][:-1]), pc.not_equal(cols[1][1:], cols[1][:-1]))
-            new_rid = pc.or_(new_key, pc.not_equal(cols[2][1:], cols[2][:-1]))
-            key_at = [0, *(int(i) + 1 for i in pc.indices_nonzero(new_key).to_pylist())]
-            rid_at = pc.indices_nonzero(new_rid).to_numpy() + 1
+            new_rid[1:] |= pc.not_equal(rid[1:], rid[:-1]).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(new_key)
+        rows = np.diff(np.append(start, n))
+        rids = np.add.reduceat(new_rid.astype(np.int64), start)
+        if held and held[1] == en[0] and held[2] == hn[0]:
+            first = rid[0].as_py()
+            rows[0] += held[3]
+            rids[0] += held[4] - (held[6] == first)
+            begin = held[5]
         else:
-            key_at, rid_at = [0], []
-        for a, z in zip(key_at, [*key_at[1:], n]):
-            e, h = cols[0][a].as_py(), cols[1][a].as_py()
-            first, last = cols[2][a].as_py(), cols[2][z - 1].as_py()
-            rids = 1 + int(((rid_at > a) & (rid_at < z)).sum()) if len(rid_at) else 1
-            if cur and cur[0] == e and cur[1] == h:
-                cur[2] += z - a
-                cur[3] += rids - (cur[5] == first)
-                cur[5] = last
-            else:
-                if cur:
-                    out.append(cur)
-                cur = [e, h, z - a, rids, first, last]
-    if cur:
-        out.append(cur)
-    if out:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(out), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))],
-            names=["part", "entry", "hashValue", "n_rows", "n_rids", "first_rid", "last_rid"],
-        )
+            begin = rid[0].as_py()
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, kinds)], names=names)
+        last = int(start[-1])
+        held = [part, int(en[last]), int(hn[last]), int(rows[-1]), int(rids[-1]), begin if len(start) == 1 else rid[last].as_py(), rid[n - 1].as_py()]
+        if len(start) > 1:
+            at, end = pa.array(start[:-1]), pa.array(start[1:] - 1)
+            firsts = pa.concat_arrays([pa.array([begin], pa.string()), rid.take(at[1:]).cast(pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), e.take(at), h.take(at), pa.array(rows[:-1]), pa.array(rids[:-1]), firsts, rid.take(end).cast(pa.string())], names=names)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, kinds)], names=names)
 
 
 def bucket_counts(rows: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -87,6 +92,6 @@ def heavy_keys(rows: DataFrame, share: float = 0.01, partitions: int | None = No
 
     Nulls, repeats and empty tables as in bucket_counts. The total is one row, so it is broadcast.
     """
-    per = bucket_counts(rows, partitions)
+    per = Scratch(rows.sparkSession, "heavy").table(bucket_counts(rows, partitions))  # one row a key
     total = per.agg(F.sum("n_rids").alias("_total"))
     return per.crossJoin(F.broadcast(total)).where(F.col("n_rids") >= F.lit(share) * F.col("_total")).select("entry", "hashValue")
