@@ -86,6 +86,13 @@ def test_set_pairs_equal_brute_force(spark):
     assert links["copy1"].n_class == links["copy2"].n_class >= 3 and "none" not in links
 
 
+def test_frequent_signatures_are_split(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "FREQUENT", 0.0)
+    left = _sets(4, 150) + [(f"m{i}", [1, 2, 3, 4, 5, 6, 1000 + i]) for i in range(60)]
+    df = spark.createDataFrame(left, "rid string, features array<int>")
+    assert {tuple(r) for r in setjoin.similar_pairs(df).collect()} == _brute_pairs(left, [])
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_other_thresholds(spark, threshold):
     left = _sets(2, 120)

@@ -10,7 +10,8 @@ its segments and their one-deletion variants, the smaller one chooses the segmen
 fewest candidates. Where a set hasn't enough non-empty segments for H + 1 units (well below one in a
 hundred) its rarest tokens, a prefix that any similar set must share, are asked instead, which is
 exact too. Candidates that agree are cut down by their sizes and by 128 parity bits, whose number of
-differences never exceeds that of the sets, and then verified on the sets.
+differences never exceeds that of the sets, and then verified on the sets. Sets held under a
+signature that very many share are split by hash, and each part is asked.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from tracklode.runtime import Scratch, spread
 COMMON, KNOWN = 0.002, 0.0005
 #: Segments of a band per token of its largest set.
 SEGMENTS = 0.7
+#: Sets whose signatures are counted to find frequent ones, the share of their entries from which a
+#: signature counts as frequent, and the parts its sets are split into.
+SAMPLE, FREQUENT, SALTS = 20_000, 0.0005, 16
 
 
 def least_overlap(threshold: float, both: int) -> int:
@@ -44,66 +48,143 @@ def band_of(size: int) -> tuple[int, int]:
         lo = hi + 1
 
 
-def segments(tokens, m: int, common) -> dict[int, tuple]:
-    out: dict[int, list] = {}
-    for t in tokens:
-        out.setdefault(0 if t in common else 1 + (t * 2654435761 & 0xFFFFFFFF) % m, []).append(t)
-    return {k: tuple(v) for k, v in out.items()}
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Signatures:
-    """The signatures of one set; tokens come sorted."""
+    """The signatures of many sets at once. A segment is named by the sum of its tokens' hashes, so
+    leaving a token out is one subtraction; a chance collision only adds a candidate to verify."""
 
     def __init__(self, threshold: float, shares: dict[int, float]):
-        self.threshold, self.shares = threshold, shares
-        self.common = {t for t, p in shares.items() if p > COMMON}
-        self.bands: dict[int, tuple[int, int]] = {}
+        self.threshold = threshold
+        self.known = np.array(sorted(shares), np.int64)
+        self.share = np.array([shares[t] for t in self.known.tolist()], float)
+        self.bands: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def shares_of(self, tokens: np.ndarray, unseen: float) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(tokens), unseen)
+        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+        return np.where(self.known[at] == tokens, self.share[at], unseen)
+
+    def asked(self, a: int) -> list[tuple[int, int, int, int]]:
+        """(band, segments, units, least overlap) for each band that a set of size a asks."""
+        if a not in self.bands:
+            out, size, top = [], a, math.floor(a / self.threshold + 1e-9)
+            while size <= top:
+                lo, hi = band_of(size)
+                sizes = range(size, min(hi, top) + 1)
+                size = hi + 1
+                overlap = [least_overlap(self.threshold, a + b) for b in sizes]
+                out.append((lo, math.ceil(SEGMENTS * hi), 1 + max(a + b - 2 * o for b, o in zip(sizes, overlap)), min(overlap)))
+            self.bands[a] = out
+        return self.bands[a]
+
+    @staticmethod
+    def name(lo, kind, k, content) -> np.ndarray:
+        tag = (np.asarray(lo, np.uint64) << np.uint64(34)) ^ (np.asarray(k, np.uint64) << np.uint64(2)) ^ np.asarray(kind, np.uint64)
+        return (_mix(tag) ^ _mix(content)).view(np.int64)
+
+    def _rarest(self, row: np.ndarray, tokens: np.ndarray, lo: np.ndarray, most: np.ndarray):
+        """(row, signature) of the most[row] rarest tokens of each row."""
+        order = np.lexsort((tokens, self.shares_of(tokens, 0.0), row))
+        r = row[order]
+        ok = np.arange(len(r)) - np.searchsorted(r, r) < most[r]
+        return r[ok], self.name(lo[r[ok]], 2, 0, tokens[order][ok])
+
+    def _segments(self, row, tokens, lo, m):
+        """Tokens in order of (row, segment), the starts of the segments, and their sums."""
+        k = 1 + ((tokens * 2654435761) & 0xFFFFFFFF) % m[row]
+        k[self.shares_of(tokens, 0.0) > COMMON] = 0
+        order = np.lexsort((k, row))
+        row, tokens, k = row[order], tokens[order], k[order]
+        head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (k[1:] != k[:-1])]))
+        return row, tokens, k, head, np.add.reduceat(_mix(tokens), head)
+
+    def indexed_many(self, row: np.ndarray, tokens: np.ndarray, n: int):
+        """(row, signature) of the sets' tokens under which they are held. row: 0 … n - 1, ascending."""
+        size = np.bincount(row, minlength=n)
+        band = {a: band_of(a) for a in np.unique(size).tolist() if a}
+        lo = np.array([band[a][0] if a else 0 for a in size.tolist()], np.int64)
+        m = np.array([math.ceil(SEGMENTS * band[a][1]) if a else 1 for a in size.tolist()], np.int64)
+        r0, s0 = self._rarest(row, tokens, lo, size - np.ceil(self.threshold * size - 1e-9).astype(np.int64) + 1)
+        row, tokens, k, head, sums = self._segments(row, tokens, lo, m)
+        whole = np.repeat(sums, np.diff(np.append(head, len(row))))
+        one = k > 0
+        return np.concatenate([r0, row[head], row[one]]), np.concatenate([s0, self.name(lo[row[head]], 0, k[head], sums), self.name(lo[row[one]], 1, k[one], (whole - _mix(tokens))[one])])
+
+    def probes_many(self, row: np.ndarray, tokens: np.ndarray, n: int):
+        """(row, signature) that the sets ask for."""
+        size = np.bincount(row, minlength=n)
+        start = np.concatenate([[0], np.cumsum(size)])
+        # one line for each set and band
+        of, plan = [], []
+        for i, a in enumerate(size.tolist()):
+            for b in self.asked(a) if a else ():
+                of.append(i)
+                plan.append(b)
+        if not of:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        of, (lo, m, units, overlap) = np.array(of), np.array(plan, np.int64).T
+        n_of = size[of]
+        line = np.repeat(np.arange(len(of)), n_of)
+        tok = tokens[np.repeat(start[of], n_of) + np.arange(len(line)) - np.repeat(np.cumsum(n_of) - n_of, n_of)]
+        row, t, k, head, sums = self._segments(line, tok, lo, m)
+        width = np.diff(np.append(head, len(row)))
+        p = self.shares_of(t, KNOWN)
+        equal = np.multiply.reduceat(p, head)
+        near = np.maximum(equal, np.add.reduceat(np.repeat(equal, width) / p, head)) * 1.0001
+        seg_line, seg_k = row[head], k[head]
+        two = np.flatnonzero((seg_k > 0) & (width > 1))
+        seg = np.concatenate([np.arange(len(head)), two])
+        step = np.concatenate([np.zeros(len(head), np.int64), np.ones(len(two), np.int64)])
+        cost = np.concatenate([equal, near[two]])
+        order = np.lexsort((step, seg_k[seg], cost, seg_line[seg]))
+        seg, step = seg[order], step[order]
+        ln = seg_line[seg]
+        options = np.bincount(ln, minlength=len(of))
+        short = options < units
+        ok = (np.arange(len(ln)) - np.searchsorted(ln, ln) < units[ln]) & ~short[ln]
+        seg, step = seg[ok], step[ok]
+        name = lambda g, kind, content: self.name(lo[seg_line[g]], kind, seg_k[g], content)
+        full, part = seg[step == 0], seg[step == 1]
+        # equal up to one token: one more there, or one more here
+        n_part = width[part]
+        inside = np.repeat(head[part], n_part) + np.arange(n_part.sum()) - np.repeat(np.cumsum(n_part) - n_part, n_part)
+        wide = np.repeat(part, n_part)
+        lines = [seg_line[full], seg_line[part], seg_line[wide]]
+        sigs = [name(full, 0, sums[full]), name(part, 1, sums[part]), name(wide, 0, sums[wide] - _mix(t[inside]))]
+        if short.any():
+            few = short[line]
+            r, g = self._rarest(line[few], tok[few], lo, n_of - overlap + 1)
+            lines.append(r)
+            sigs.append(g)
+        return of[np.concatenate(lines)], np.concatenate(sigs)
 
-    def band(self, size: int) -> tuple[int, int]:
-        if size not in self.bands:
-            self.bands[size] = band_of(size)
-        return self.bands[size]
-
-    def rarest(self, s, n: int) -> list:
-        return sorted(s, key=lambda t: (self.shares.get(t, 0.0), t))[:n]
 
     def indexed(self, s) -> list[int]:
-        lo, hi = self.band(len(s))
-        out = [hash((lo, 2, t)) for t in self.rarest(s, len(s) - math.ceil(self.threshold * len(s) - 1e-9) + 1)]
-        for k, g in segments(s, math.ceil(SEGMENTS * hi), self.common).items():
-            out.append(hash((lo, 0, k, g)))
-            if k:
-                out += [hash((lo, 1, k, g[:i] + g[i + 1 :])) for i in range(len(g))]
-        return out
+        """Those of one set under which it is held."""
+        return self.indexed_many(np.zeros(len(s), np.int64), np.array(s, np.int64), 1)[1].tolist()
 
     def probes(self, s) -> list[int]:
-        a, out, top = len(s), [], math.floor(len(s) / self.threshold + 1e-9)
-        size, least = a, KNOWN
-        while size <= top:
-            lo, hi = self.band(size)
-            sizes = range(size, min(hi, top) + 1)
-            size = hi + 1
-            units = 1 + max(a + b - 2 * least_overlap(self.threshold, a + b) for b in sizes)
-            segs, options = segments(s, math.ceil(SEGMENTS * hi), self.common), []
-            for k, g in segs.items():
-                ps = [self.shares.get(t, least) for t in g]
-                equal = math.prod(ps)
-                options.append((equal, k, 0))
-                if k and len(g) > 1:
-                    options.append((max(equal, sum(equal / p for p in ps)) * 1.0001, k, 1))
-            if len(options) < units:
-                overlap = min(least_overlap(self.threshold, a + b) for b in sizes)
-                out += [hash((lo, 2, t)) for t in self.rarest(s, a - overlap + 1)]
-                continue
-            options.sort()
-            for _, k, step in options[:units]:
-                g = segs[k]
-                if not step:
-                    out.append(hash((lo, 0, k, g)))
-                else:  # equal up to one token: one more there, or one more here
-                    out.append(hash((lo, 1, k, g)))
-                    out += [hash((lo, 0, k, g[:i] + g[i + 1 :])) for i in range(len(g))]
-        return out
+        """Those one set asks for."""
+        return self.probes_many(np.zeros(len(s), np.int64), np.array(s, np.int64), 1)[1].tolist()
+
+
+def parity_bits(row: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits of each set, as two integers."""
+    bit = ((tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) & np.uint64(127)
+    out = []
+    for half in (0, 1):
+        here = (bit >> np.uint64(6)) == half
+        word = np.zeros(n, np.uint64)
+        np.bitwise_xor.at(word, row[here], np.uint64(1) << (bit[here] & np.uint64(63)))
+        out.append(word.view(np.int64))
+    return out[0], out[1]
 
 
 def _emit(threshold: float, shares: dict[int, float], probe: bool):
@@ -111,20 +192,20 @@ def _emit(threshold: float, shares: dict[int, float], probe: bool):
         make = Signatures(threshold, shares)
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
-                ids = batch.column(0).slice(at, 2_000).to_numpy(zero_copy_only=False)
-                sig, n, size, b1, b2 = [], [], [], [], []
-                for s in batch.column(1).slice(at, 2_000).to_pylist():
-                    got = make.probes(s) if probe else make.indexed(s)
-                    bits = 0
-                    for t in s:
-                        bits ^= 1 << ((t * 0x9E3779B97F4A7C15 >> 20) & 127)
-                    sig += got
-                    n.append(len(got)), size.append(len(s)), b1.append(bits & 0xFFFFFFFFFFFFFFFF), b2.append(bits >> 64)
-                wide = lambda x, t: pa.array(np.repeat(np.array(x, t), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(sig, np.int64)), wide(ids, np.int64), wide(size, np.int32), pa.array(np.repeat(np.array(b1, np.uint64), n).view(np.int64)), pa.array(np.repeat(np.array(b2, np.uint64), n).view(np.int64))],
-                    names=["sig", "id", "size", "b1", "b2"],
-                )
+                ids, sets = batch.column(0).slice(at, 2_000), batch.column(1).slice(at, 2_000)
+                n = len(ids)
+                size = np.diff(sets.offsets.to_numpy())
+                row, tokens = np.repeat(np.arange(n), size), sets.flatten().to_numpy(zero_copy_only=False)
+                if not len(row):
+                    continue
+                b1, b2 = parity_bits(row, tokens, n)
+                r, sig = make.probes_many(row, tokens, n) if probe else make.indexed_many(row, tokens, n)
+                # a signature once a set
+                order = np.lexsort((sig, r))
+                r, sig = r[order], sig[order]
+                once = np.concatenate([[True], (r[1:] != r[:-1]) | (sig[1:] != sig[:-1])]) if len(r) else np.zeros(0, bool)
+                r, sig = r[once], sig[once]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), ids.take(pa.array(r)), pa.array(size[r].astype(np.int32)), pa.array(b1[r]), pa.array(b2[r])], names=["sig", "id", "size", "b1", "b2"])
 
     return run
 
@@ -144,11 +225,25 @@ def similar_classes(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     base = spread(classes.select("id", "s"))
     probe = base.mapInArrow(_emit(threshold, shares, True), schema).select("sig", *(F.col(c).alias("a_" + c) for c in ("id", "size", "b1", "b2")))
     index = base.mapInArrow(_emit(threshold, shares, False), schema).select("sig", *(F.col(c).alias("b_" + c) for c in ("id", "size", "b1", "b2")))
+    # signatures with more than a share FREQUENT of the tokens of a sample; a token makes three entries
+    # at most, so there are at most 3 / FREQUENT of them
+    drawn = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, SAMPLE / max(1, n)))))
+    counts = drawn.mapInArrow(_emit(threshold, shares, False), schema).groupBy("sig").count().where(F.col("count") > 1)
+    entries = drawn.agg(F.sum(F.size("s")).alias("tokens")).head()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("count") > max(16, FREQUENT * entries)).select("sig").collect()]
+    keys = ["sig"]
+    if hot:
+        split = index.sparkSession.createDataFrame([(h,) for h in hot], "sig bigint").withColumn("_hot", F.lit(True))
+        one = F.when(F.col("_hot"), F.pmod(F.xxhash64("b_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+        every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+        index = index.join(F.broadcast(split), "sig", "left").withColumn("salt", one).drop("_hot")
+        probe = probe.join(F.broadcast(split), "sig", "left").withColumn("salt", F.explode(every)).drop("_hot")
+        keys = ["sig", "salt"]
     both = F.col("a_size") + F.col("b_size")
     differ = F.bit_count(F.col("a_b1").bitwiseXOR(F.col("b_b1"))) + F.bit_count(F.col("a_b2").bitwiseXOR(F.col("b_b2")))
     once = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_id") < F.col("b_id")))
     fits = once & (F.col("a_size") >= F.col("b_size") * threshold - 1e-9) & (differ <= both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9))
-    candidates = probe.join(index, "sig").where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    candidates = probe.join(index, keys).where(fits).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     sa, sb = classes.select(F.col("id").alias("a"), F.col("s").alias("sa")), classes.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common / (F.size("sa") + F.size("sb") - common)
