@@ -5,8 +5,9 @@ few search radii wide, written as unary bits, so the Hamming distance of two cod
 interval steps between them. The code is split into `parts` substrings of neighbouring axes and each
 substring is indexed. Of two codes whose Hamming distance is below twice the number of substrings at
 least one pair of substrings differs in one bit at most (pigeonhole), so a code is held under its own
-value in each substring and probes the values one bit away whose interval border is near. The
-interval width follows from the search radius alone, so a value of a substring holds more vectors
+value in each substring and probes the values one bit away whose interval border is nearer than an
+eighth of the radius (two codes in 16 axes differ by a quarter of it on an axis, and either may probe).
+The interval width follows from the search radius alone, so a value of a substring holds more vectors
 where they lie denser. A value with more than `heavy` of them gets second codes of its own: sign bits
 around the medians of seeded rotations, in substrings of as many bits as leaves of `leaf` vectors
 take, and as many substrings as it takes to keep the share `recall` of the neighbour pairs in a
@@ -184,19 +185,24 @@ def nearest(scratch: Scratch, reps: DataFrame, n: int, dim: int, k: int, limit:
     mean, turn = V.fit_rotation(reps, n, dim, seed)
     if not 1 <= parts <= 4:
         raise ValueError("between 1 and 4 substrings")
-    keyed = scratch.table(_keyed(reps, dim, mean, turn, width or 4 * limit, parts, limit / 4))
+    keyed = scratch.table(_keyed(reps, dim, mean, turn, width or 4 * limit, parts, limit / 8))
     long = keyed.select("rep", "v", "keys", F.explode(F.concat("keys", "probes")).alias("key"))
     values = scratch.table(_open_values(long.drop("v"), parts, heavy))
     todo = scratch.table(_uncovered(values))
     rows = long.select("key", "rep", "v").join(todo.where("NOT heavy").select("key"), "key")
     hot = todo.where("heavy").select("key", "n")
+    used = [keyed, values, todo]
     if not hot.isEmpty():
         found = scratch.table(long.select("key", "rep", "v").join(hot, "key"))
         models = scratch.table(_models(found, dim, k, limit, seed, leaf, recall, sample))
         rows = rows.unionByName(_recoded(found, models, dim, seed))
+        used += [found, models]
     ranked = rows.repartition(_partitions(spark), "key").sortWithinPartitions("key", "rep").mapInArrow(_rank(dim, k, limit), "rep string, other string, dist double")
+    # a pair met in several values has one rank; copies of it go within the partitioning of the window
     w = Window.partitionBy("rep").orderBy("dist", "other")
-    return ranked.distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    near = scratch.table(ranked.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= k).drop("_r").distinct())
+    scratch.drop(*used)
+    return near
 
 
 def nearest_records(points: DataFrame, dim: int = 16, k: int = 5, limit: float = 2.5, **index) -> DataFrame:
@@ -211,7 +217,7 @@ def nearest_records(points: DataFrame, dim: int = 16, k: int = 5, limit: float =
     pts = scratch.table(V.usable(points, dim))
     reps = scratch.table(V.classes(pts))
     n = reps.count()
-    near = scratch.table(nearest(scratch, reps, n, dim, k, limit, **index))
+    near = nearest(scratch, reps, n, dim, k, limit, **index)
     many = reps.where("n > 1").select("v", "rep", "n")
     member = pts.join(many, "v").select("rep", "rid")  # members of groups of copies only
     few = member.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("rid"))).where(F.col("_r") <= k + 1).drop("_r")
