@@ -37,18 +37,24 @@ def _patterns_sql(columns: str, longest: int = 8) -> str:
     return out + " " + " UNION ALL ".join(f"SELECT {columns} FROM f{k}" for k in range(2, longest + 1))
 
 
-@query(
-    "p4_found",
-    """WITH RECURSIVE e AS (SELECT DISTINCT rid_a AS a, rid_b AS b FROM match_pairs WHERE rid_a IS NOT NULL AND rid_b IS NOT NULL),
+GROUPS = """WITH RECURSIVE e AS (SELECT DISTINCT rid_a AS a, rid_b AS b FROM match_pairs WHERE rid_a IS NOT NULL AND rid_b IS NOT NULL),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     v AS (SELECT rid_a AS rid FROM match_pairs WHERE rid_a IS NOT NULL UNION SELECT rid_b FROM match_pairs WHERE rid_b IS NOT NULL),
     r(rid, g) AS (SELECT rid, rid FROM v UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.rid AND r.g < u.b)
-    SELECT rid, min(g) AS group_rid FROM r GROUP BY rid""",
-)
+    SELECT rid, min(g) AS group_rid FROM r GROUP BY rid"""
+
+
+@query("p4_found", GROUPS)
 def p4_found(spark, sf_dir):
     return linking.group_ids(read(spark, sf_dir, "match_pairs"))
 
 
+@query("p4_decomposed", GROUPS)
+def p4_decomposed(spark, sf_dir):
+    """p4_found by decomposition down to the last edge, without the finish in one task."""
+    return linking.group_ids(read(spark, sf_dir, "match_pairs"), finish_edges=0)
+
+
 @query("p7_ids")
 def p7_ids(spark, sf_dir):
     return tokens.encode(read(spark, sf_dir, "documents"))
