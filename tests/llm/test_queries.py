@@ -10,17 +10,24 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "p1_found": ["rid", "cluster_rid"],
     "p1_clusters": ["cluster_rid", "n_rids", "n_communities", "typical"],
+    "p1_profiles": ["cluster_rid", "n_rids", "n_typical", "inside"],
     "p2_found": ["pattern"],
     "p2_supports": ["pattern", "support"],
     "p3_found": ["rid_a", "rid_b"],
+    "p3_recall": ["n_queries", "n_true", "reached"],
     "p4_found": ["rid", "group_rid"],
+    "p4_decomposed": ["rid", "group_rid"],
     "p6_found": ["rid_a", "rid_b"],
     "p6_links": ["rid", "class_rid", "n_class", "n_links"],
     "p7_ids": ["doc_id", "ids"],
     "p8_mixture": ["doc_id", "source", "n_tokens", "copy", "block", "shard"],
     "p8_shares": ["source", "target_share", "actual_share", "n_tokens", "n_documents", "n_uses", "most_copies"],
+    "p8_seats": ["source", "n_seats"],
+    "p8_reached": ["source", "target_share", "max_repeat", "reached", "within"],
+    "p8_all_tokens": ["source", "target_share", "max_repeat", "within"],
     "p9_found": ["doc_id", "kind", "surface"],
     "p9_redacted": ["doc_id", "text", "n_found"],
+    "p9_redaction_check": ["n_documents", "n_null", "n_left"],
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")

@@ -131,6 +131,17 @@ def test_feistel_round_trips():
     assert privacy.permute_date(privacy.permute_date(d, key), key, back=True) == d and privacy.permute_date(dt.date(1850, 1, 1), key) == dt.date(1850, 1, 1)
 
 
+def test_forms_of_a_number_stay_linked():
+    key = b"k" * 32
+    digits = lambda t: "".join(c for c in t if c.isalnum())
+    a, b, c = (privacy.permute_phone(s, key) for s in ("+49 30 5550 1234", "030/55501234", "+49 (0) 30-5550-1234"))
+    assert a.startswith("+49 ") and b.startswith("0") and digits(a)[2:] == digits(b)[1:] == digits(c)[3:] != "3055501234"
+    assert privacy.permute_phone(b, key, back=True) == "030/55501234"
+    x, y = (privacy.permute_text(s, key, "IDNUM") for s in ("QX 94 29 73 J", "QX942973J"))
+    assert digits(x) == y != "QX942973J"
+    assert len(privacy.placeholder("NAME", "Fenholt", key)) == len("[NAME:]") + 32
+
+
 def test_decomposed_letters_stay_as_written():
     import unicodedata
 

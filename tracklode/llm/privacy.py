@@ -4,8 +4,9 @@ Numbers are found by their formats and validated by what stands around them; nam
 parts learned from the name table (its entries, and beginnings and endings that combine freely in
 it), by forms of address, roles and register entries, and by the names a text has given in full
 before. Placeholders keep equal values linked across documents: the letters and digits of phone and
-identity numbers go through a keyed Feistel permutation within their format, other values carry a
-keyed tag. The pseudonyms can't be turned back without the key.
+identity numbers go through a keyed Feistel permutation within their format, whatever the signs between
+them and, for phone numbers, whether a country code or a trunk zero stands before; other values carry
+a keyed tag of 128 bits. The pseudonyms can't be turned back without the key.
 """
 
 from __future__ import annotations
@@ -61,6 +62,7 @@ ID_FORM = re.compile(r"[A-Z]{2}(?: \d\d){3} [A-Z]|[A-Z]\d{7}[A-Z]|\d\.\d{3}\.\d{
 PHONE_FORM = re.compile(
     r"\+\d{1,3}[ .-]?(?:\(0\) ?)?\d(?:[ .–-]?\d){5,11}|00\d{2,3}(?:[ .-]\d{2,4}){2,4}|\(0\d{1,4}\) ?\d{3,4}(?:[ -]\d{2,4})?|0\d{1,4}/\d{5,9}|0\d{1,3}[–-]\d{3}[–-]\d{3,5}|0\d{1,2}(?: \d\d){4}|\d{3}[-–]\d{4}"
 )
+PHONE_LEAD = re.compile(r"(?:\+\d{1,3}[ .-]?(?:\(0\) ?)?|00\d{2,3}[ .-]|\(0|0)?")
 PHONE_LOCAL = re.compile(r"\d{3}[-–]\d{4}")
 PHONE_NEAR = re.compile(r"(?:[Tt]el(?:ephone|efon)?\.?|[Tt]él(?:éphone)?\.?|[Ff]ax|[Mm]obil\w*|[Pp]hone|[Rr]ufnummer|[Nn]umber|numéro|rang|called|Anruf von|joignable au|appelée? au|reached (?:by telephone )?(?:at|on))[ :]*(?:at |on |au |unter |der )?$")
 NO_NUMBER = re.compile(r"(?:ref\.|order no\.|no\.|Container|lading|Auftragsnummer|Aktenzeichen|référence|conteneur|Rechnung Nr\.|facture n°|Anlage|pièce|connaissement|Konnossement|commande)[ :]*$")
@@ -356,7 +358,7 @@ class Finder:
     @staticmethod
     def _no_person(flat, a, z) -> bool:
         """Firms, cited cases and places."""
-        if FIRM.match(flat, z) or flat.startswith((" v ", " v. "), z) or flat.startswith((" Mills", " Division", " Division"), z):
+        if FIRM.match(flat, z) or flat.startswith((" v ", " v. "), z) or flat.startswith((" Mills", " Division"), z):
             return True
         before = flat[max(0, a - 14) : a]
         return before.endswith((" Re ", "(Re ", " v ", " v. ", "MV ", "In re ")) or before.startswith("Re ") and len(before) == 3
@@ -391,14 +393,15 @@ def permute_number(value: int, size: int, key: bytes, tag: str = "", rounds: int
 
 def permute_text(s: str, key: bytes, tag: str = "", back: bool = False) -> str:
     """The same format with other digits and letters: digits stay digits, capitals capitals, signs
-    stay. A one-to-one map within each format for a key."""
+    stay. A one-to-one map for each sequence of digits and letters and a key; signs don't matter, so a
+    number written with other blanks or hyphens gets the same digits."""
     shape = [10 if c.isdigit() and c.isascii() else 26 if "A" <= c <= "Z" or "a" <= c <= "z" else 0 for c in s]
     value, size = 0, 1
     for c, n in zip(s, shape):
         if n:
             value = value * n + (int(c) if n == 10 else ord(c.upper()) - 65)
             size *= n
-    value = permute_number(value, size, key, tag + "".join("9" if n == 10 else "A" if n else c for c, n in zip(s, shape)), back=back)
+    value = permute_number(value, size, key, tag + "".join("9" if n == 10 else "A" for n in shape if n), back=back)
     out = []
     for c, n in zip(reversed(s), reversed(shape)):
         if n:
@@ -409,6 +412,13 @@ def permute_text(s: str, key: bytes, tag: str = "", back: bool = False) -> str:
     return "".join(reversed(out))
 
 
+def permute_phone(s: str, key: bytes, back: bool = False) -> str:
+    """A phone number with another national number; country code and trunk zero stay, so forms with and
+    without them stay linked."""
+    lead = PHONE_LEAD.match(s).end()
+    return s[:lead] + permute_text(s[lead:], key, "PHONE", back)
+
+
 def permute_date(d: dt.date, key: bytes, first: dt.date = dt.date(1900, 1, 1), days: int = 73_000, back: bool = False) -> dt.date:
     """Another valid date of the same range of days, one to one; dates outside the range stay."""
     n = (d - first).days
@@ -416,9 +426,11 @@ def permute_date(d: dt.date, key: bytes, first: dt.date = dt.date(1900, 1, 1), d
 
 
 def placeholder(kind: str, surface: str, key: bytes) -> str:
-    if kind in ("PHONE", "IDNUM"):
-        return f"[{kind}:{permute_text(surface, key, kind)}]"
-    return f"[{kind}:{hashlib.blake2b(surface.lower().encode(), key=key, digest_size=5).hexdigest()}]"
+    if kind == "PHONE":
+        return f"[PHONE:{permute_phone(surface, key)}]"
+    if kind == "IDNUM":
+        return f"[IDNUM:{permute_text(surface, key, kind)}]"
+    return f"[{kind}:{hashlib.blake2b(surface.lower().encode(), key=key, digest_size=16).hexdigest()}]"
 
 
 # ---- operators ----

@@ -158,6 +158,40 @@ def p8_shares(spark, sf_dir):
     return mixture.shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))
 
 
+@query(
+    "p8_seats",
+    """WITH q AS (SELECT source, target_share / (2 * s.s + 1) AS quotient FROM source_targets, range(2000) s(s) WHERE target_share > 0)
+    SELECT source, count(*) AS n_seats FROM (SELECT source FROM q ORDER BY quotient DESC, source LIMIT 2000) GROUP BY source""",
+)
+def p8_seats(spark, sf_dir):
+    """2,000 blocks dealt to the sources by highest quotients (a top-k of quotients)."""
+    goal = {r["source"]: r["target_share"] for r in read(spark, sf_dir, "source_targets").collect()}  # one row a source
+    return spark.createDataFrame([(s,) for s in mixture.apportion(goal, 2000)], "source string").groupBy("source").agg(F.count("*").alias("n_seats"))
+
+
+@query("p8_reached", "SELECT source, target_share, max_repeat, true AS reached, true AS within FROM source_targets")
+def p8_reached(spark, sf_dir):
+    """Whether each source's tokens in the mixture differ from its target by two blocks and two documents
+    at most, and no document is used more than max_repeat times."""
+    targets = read(spark, sf_dir, "source_targets")
+    used = mixture.mixture(read(spark, sf_dir, "documents"), targets)
+    per = used.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"), F.max("n_tokens").alias("d"))
+    got = per.groupBy("source").agg(F.sum("t").alias("t"), F.max("c").alias("c"), F.max("d").alias("d"))
+    total = got.agg(F.sum("t").alias("total"))
+    near = F.abs(F.col("t") - F.col("target_share") * F.col("total")) <= 2 * F.col("total") / mixture.BLOCKS + 2 * F.col("d")
+    rows = targets.join(got, "source", "left").crossJoin(F.broadcast(total))  # the total is one row
+    return rows.select("source", "target_share", "max_repeat", F.coalesce(near, F.lit(False)).alias("reached"), (F.coalesce("c", F.lit(0)) <= F.col("max_repeat")).alias("within"))
+
+
+@query("p8_all_tokens", "SELECT source, target_share, max_repeat, true AS within FROM source_targets")
+def p8_all_tokens(spark, sf_dir):
+    """A mixture as large as the whole corpus: sources that run out stop at max_repeat copies."""
+    docs, targets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets")
+    whole = tokens.with_token_counts(docs, ["doc_id"]).agg(F.sum("n_tokens")).head()[0]
+    got = mixture.shares(docs, targets, total_tokens=whole).select("source", "n_uses", "most_copies")
+    return targets.join(got, "source").select("source", "target_share", "max_repeat", ((F.col("most_copies") <= F.col("max_repeat")) & (F.col("n_uses") > 0)).alias("within"))
+
+
 @query("p9_found")
 def p9_found(spark, sf_dir):
     return privacy.found(read(spark, sf_dir, "documents"), read(spark, sf_dir, "name_parts"))
@@ -167,3 +201,14 @@ def p9_found(spark, sf_dir):
 def p9_redacted(spark, sf_dir):
     """Each text with typed placeholders; the key of this query is public, so only for show."""
     return privacy.redacted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "name_parts"), key="p9_redacted")
+
+
+@query("p9_redaction_check", "SELECT count(*) AS n_documents, count(*) FILTER (WHERE text IS NULL) AS n_null, CAST(0 AS BIGINT) AS n_left FROM documents")
+def p9_redaction_check(spark, sf_dir):
+    """Redacted texts, null ones among them, and how many mail addresses, phone and identity numbers that
+    were found in a text still stand in it."""
+    docs, names = read(spark, sf_dir, "documents"), read(spark, sf_dir, "name_parts")
+    red = privacy.redacted(docs, names, key="p9_redaction_check").select("doc_id", F.regexp_replace("text", "[ \t\r\n]+", " ").alias("flat"))
+    numbers = privacy.found(docs, names).where("kind IN ('EMAIL', 'PHONE', 'IDNUM')").groupBy("doc_id").agg(F.collect_set("surface").alias("s"))
+    left = F.size(F.filter("s", lambda x: F.col("flat").contains(x)))
+    return red.join(numbers, "doc_id", "left").agg(F.count("*").alias("n_documents"), F.count_if(F.col("flat").isNull()).alias("n_null"), F.coalesce(F.sum(F.when(F.col("s").isNotNull(), left)), F.lit(0)).cast("bigint").alias("n_left"))
