@@ -520,3 +520,101 @@ def test_nearest_rows_however_far(spark):
     h = [p["count"] for p in db.nearest_row_histogram(df, ["x", "y"], 0.5).orderBy("lo").collect()]
     assert h == np.histogram(want, 16)[0].tolist() and sum(h) == len(x)
     assert [p["count"] for p in db.within_eps_row_histogram(df, ["x", "y"], 0.5).orderBy("lo").collect()] == np.histogram(np.where(n == 1, 0, n), 16)[0].tolist()
+
+
+# ---- joins of two tables, costs, measures, several labellings ----
+
+
+def test_join_of_two_set_tables(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lsh, "CHUNK", 7)  # buckets are cut into chunks
+    r = random.Random(3)
+    make = lambda n, off: [(off + i, sorted(r.sample(range(12), r.randint(2, 5)))) for i in range(n)]
+    a, b = make(60, 0), make(40, 1000)
+    left, right = (lsh.set_classes(spark.createDataFrame(t, "id bigint, active array<int>"), "id")[0] for t in (a, b))
+    ab = lsh.coefficients(4, 5)
+    got = {(x.id_a, x.id_b, x.entry): round(x.dist, 9) for x in lsh.join(left, right, ab, 0.7).collect()}
+    first = lambda t: {tuple(s): min(i for i, q in t if q == s) for _, s in t}
+    h = lambda s, k: min(((1 + e) * ab[k][0] + ab[k][1]) % lsh.PRIME for e in s)
+    want = {}
+    for s, i in first(a).items():
+        for t, j in first(b).items():
+            d = 1 - len(set(s) & set(t)) / len(set(s) | set(t))
+            want |= {(i, j, k): round(d, 9) for k in range(4) if d < 0.7 and h(s, k) == h(t, k)}
+    assert got == want and want
+    assert lsh.join(left.where("false"), right, ab, 0.7).count() == 0
+
+
+def test_pairwise_cost(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 5.0), ("a", 3.0, 5.0), ("b", 1e6, 1.0), ("b", 1e6 + 1, 1.0), ("c", 1.0, None)]
+    got = {r.g: (r.n, round(r.cost, 6)) for r in profile.pairwise_cost(spark.createDataFrame(rows, "g string, x double, y double"), "g", ["x", "y"]).collect()}
+    assert got == {"a": (3, 26.0), "b": (2, 1.0)}
+
+
+@pytest.mark.parametrize("measure,norm", [("manhattan", lambda d: np.abs(d).sum(-1)), ("chebyshev", lambda d: np.abs(d).max(-1))])
+def test_other_measures(spark, measure, norm):
+    x = np.random.default_rng(4).uniform(0, 6, (150, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, x double, y double")
+    n = {tuple(r.v): (r.n, r.nearest) for r in db.neighbour_counts(db.vertices(df, ["x", "y"]), 2, 0.5, measure).collect()}
+    d = norm(x[:, None] - x[None])
+    other = np.where(np.eye(len(x), dtype=bool), np.inf, d).min(1)
+    for i, v in enumerate(x):
+        got = n[tuple(v)]
+        assert got[0] == (d[i] <= 0.5).sum() and (got[1] is None) == (other[i] > 0.5) and (got[1] is None or abs(got[1] - other[i]) < 1e-9)
+    assert db.dbscan(df, ["x", "y"], 0.5, 3, measure=measure).count() == 150
+    with pytest.raises(ValueError):
+        db.neighbour_counts(db.vertices(df, ["x", "y"]), 2, 0.5, "cosine").count()
+
+
+def test_measures_can_be_added(spark):
+    from tracklode.functions import arrays as A
+
+    A.register("first_axis", lambda a, b: F.abs(F.element_at(a, 1) - F.element_at(b, 1)))
+    try:
+        with pytest.raises(ValueError):
+            A.register("first_axis", A.euclidean)
+        df = spark.createDataFrame([([1.0, 5.0], [4.0, 9.0])], "a array<double>, b array<double>")
+        assert tuple(df.select(*(A.distance(n)(F.col("a"), F.col("b")) for n in ("first_axis", "manhattan", "chebyshev"))).head()) == (3.0, 7.0, 4.0)
+    finally:
+        del A.DISTANCES["first_axis"]
+
+
+def test_several_labellings_and_slices(spark):
+    x = np.random.default_rng(6)
+    pts = spark.createDataFrame([(i, (x.normal(size=2) * 0.02 + [i % 3 * 5, i % 2 * 5]).tolist()) for i in range(120)], "id bigint, v array<double>")
+    m = meanshift.mean_shift_lsh(pts, 2, k=5, slices=3, label_slices=4, label_models=2, iterations=4)
+    assert len(m["models"]) == 2
+    for model in m["models"]:
+        lab = {r.id: r.cluster for r in model["labels"].collect()}
+        assert len(set(lab.values())) == 6 and all((lab[i] == lab[j]) == (i % 6 == j % 6) for i in range(0, 120, 7) for j in range(120))
+
+
+def test_merged_means():
+    means = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
+    assert meanshift._merged(means, np.array([4, 4, 4, 4, 1]), 0.05, 0).tolist() == [0, 0, 1, 1, 2]
+    assert meanshift._merged(means, np.array([4, 4, 4, 4, 1]), 0.05, 1).tolist() == [0, 0, 1, 1, 1]
+
+
+def test_a_dense_cell(spark):
+    """100,000 points in a few cells: counts and links go by leaves."""
+    x = np.random.default_rng(9).uniform(0, 3, (100_000, 2))
+    import time
+
+    began = time.time()
+    n = db._weights_near(x, np.ones(len(x), int), np.ones(len(x), bool), 1.0, "euclidean")
+    lab = db._linked(x[:30_000], 0.05, "euclidean")
+    assert time.time() - began < 120  # all pairs would take far longer
+    at = np.random.default_rng(1).choice(len(x), 200)
+    assert all(n[i] == (((x - x[i]) ** 2).sum(1) <= 1.0).sum() for i in at)
+    assert len(np.unique(lab)) == 1
+    y = np.random.default_rng(2).uniform(0, 3, (700, 2))
+    close = ((y[:, None] - y[None]) ** 2).sum(-1) <= 0.09**2
+    want = np.arange(len(y))
+    while True:
+        low = np.where(close, want, len(y)).min(1)
+        if (low == want).all():
+            break
+        want = low
+    got = db._linked(y, 0.09, "euclidean")
+    assert len(set(zip(got.tolist(), want.tolist()))) == len(set(want.tolist())) == len(set(got.tolist()))

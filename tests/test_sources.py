@@ -105,3 +105,39 @@ def test_entry_contract(spark):
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and {"p5_found", "gap_patterns_all"} <= set(q)
     assert e.entry(spark).count() > 0
+
+
+def test_flat_rows(spark):
+    df = spark.createDataFrame([(1, {"a": [(2, [3.0, 4.0])]}), (2, {}), (3, None)], "id int, m map<string,array<struct<t:int,p:array<double>>>>")
+    got = sorted(tuple(r) for r in io.flat_rows(df).collect())
+    assert got == [(1, "a", 0, 2, 0, 3.0), (1, "a", 0, 2, 1, 4.0)]
+    assert io.flat_rows(df).columns == ["id", "m_key", "m_pos", "m_t", "m_p_pos", "m_p"]
+
+
+def test_pattern_run_from_a_file(spark, tmp_path):
+    from tracklode import cli
+    from tracklode.operators import hotspot
+    from tracklode.plans import config
+
+    (tmp_path / "pts").write_text("".join(f"{d};{t};{d}.0;{t}.0;0.0;{'ab'[(t // 10) % 2]}\n" for d in range(6) for t in range(0, 60, 5)))
+    for method, more in (("MINHASHLSH", ""), ("CELLS", "cellSizePerDim=1,1,1,20,1,1\n"), ("DBSCAN", "epsilonFlag=1,1,1,1,1,1\nminPtsFlag=2\n")):
+        mask = "0,0,0,0,0,1" if method == "MINHASHLSH" else "0,0,1,1,0,0"
+        (tmp_path / "run").write_text(f"! a run\ndelimiter = ;\ndimensionTypes=L,L,D,D,D,S\nselectedDimensions={mask}\nsemAreasMethod={method}\nminSupport=0.5\nmaxDTofPatterns=10\nmaxPatternLength=2\n{more}")
+        out = f"{tmp_path}/{method}"
+        assert cli.main(["patterns", "--config", f"{tmp_path}/run", "--input", f"{tmp_path}/pts", "--output", out]) == 0
+        assert spark.read.parquet(f"{out}/areas").count() > 0
+    patterns = {tuple(r["pattern"]): r["support"] for r in spark.read.parquet(f"{tmp_path}/MINHASHLSH/patterns").collect()}
+    assert set(patterns) == {(1, 1), (1, 2), (2, 1), (2, 2)} and set(patterns.values()) == {6}
+    assert {"pattern", "cluster", "value", "value_pos"} <= set(spark.read.parquet(f"{tmp_path}/MINHASHLSH/transitions").columns)
+    with pytest.raises(hotspot.PathError):
+        cli.main(["patterns", "--config", f"{tmp_path}/none"])
+    with pytest.raises(hotspot.PathError):
+        cli.main(["patterns", "--config", f"{tmp_path}/run", "--input", f"{tmp_path}/nothing", "--output", "x"])
+    (tmp_path / "bad").write_text("no sign here\n")
+    with pytest.raises(hotspot.InputError):
+        config.read_properties(f"{tmp_path}/bad")
+    (tmp_path / "empty").write_text("")
+    with pytest.raises(hotspot.DataError):
+        config.run(spark, f"{tmp_path}/empty", config.read_properties(f"{tmp_path}/run"))
+    with pytest.raises(hotspot.RangeError):
+        config.run(spark, f"{tmp_path}/pts", config.read_properties(f"{tmp_path}/run") | {"minSupport": "2"})

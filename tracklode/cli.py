@@ -1,4 +1,6 @@
-"""Command lines: hotspot, dbscan, nearest and within.
+"""Command lines: patterns, hotspot, dbscan, nearest and within.
+
+    python -m tracklode.cli patterns --config run.properties --input points --output out
 
     python -m tracklode.cli hotspot -i points -o out -cs 0.05 -ct 1 -tk 50 -nd 3
     python -m tracklode.cli dbscan --ds-input points --ds-output out --eps 0.3 --numPts 10
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from tracklode.functions.arrays import distance
 from tracklode.operators import dbscan as D
 from tracklode.operators import hotspot as H
+from tracklode.plans import config
 from tracklode.plans.pipeline import hotspots
 from tracklode.runtime import session
 from tracklode.sources import io
@@ -31,6 +34,10 @@ def parser() -> argparse.ArgumentParser:
     h.add_argument("--neighbor-distance", "-nd", type=int, default=3)
     for name in ("--cell-height", "--input-data", "--mode", "--flag"):
         h.add_argument(name, help=argparse.SUPPRESS)  # accepted and without effect
+    m = sub.add_parser("patterns", help="trajectories to areas, frequent patterns and clustered transitions")
+    m.add_argument("--config", required=True, help="a properties file")
+    m.add_argument("--input", default=None, help="instead of storage and data_file")
+    m.add_argument("--output", default=None, help="instead of results")
     for name in ("dbscan", "nearest", "within"):
         c = sub.add_parser(name)
         c.add_argument("--ds-master", default=None)
@@ -51,7 +58,19 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session(master=getattr(a, "ds_master", None))
+    if a.command == "patterns":
+        settings = config.read_properties(a.config)
+        source = io.existing(spark, a.input or config.source(settings))
+        target = a.output or settings.get("results")
+        if not target:
+            raise H.InputError("no output: give --output or results")
+        run = config.run(spark, source, settings)
+        io.write_table(run.areas, f"{target}/areas")
+        io.write_table(run.patterns, f"{target}/patterns")
+        io.write_table(io.flat_rows(run.clusters.withColumnRenamed("v", "value")), f"{target}/transitions")
+        return 0
     if a.command == "hotspot":
+        io.existing(spark, a.input)
         if a.top_k < 10:
             raise H.RangeError("top-k must be at least 10")
         if a.neighbor_distance < 0:
@@ -60,19 +79,20 @@ def main(argv: list[str] | None = None) -> int:
         io.write_hotspots(top.select("cell_id", "z"), a.output, [f"cell size {a.cell_size}, {a.cell_time} days, top {a.top_k}", "cell,  z,"], a.top_k)
         return 0
     distance(a.distanceMeasure)
-    if a.distanceMeasure != "euclidean":
-        raise H.RangeError("cells need the euclidean distance")
+    if a.distanceMeasure not in D.MEASURES:
+        raise H.RangeError(f"cells need one of {', '.join(D.MEASURES)}")
+    io.existing(spark, a.ds_input)
     if a.ds_debugOutput:
         spark.conf.set("tracklode.debug.dir", a.ds_debugOutput)
     pts = io.read_numeric_points(spark, a.ds_input, a.dims)
     cols = [f"c{i}" for i in range(a.dims)]
     df = io.write_debug(pts.select(*(F.col("features")[i].alias(c) for i, c in enumerate(cols))), "points")
     if a.command == "dbscan":
-        io.write_labels(D.dbscan(df, cols, a.eps, a.numPts, a.borderPointsAsNoise).select(*cols, "cluster"), a.ds_output, *cols)
+        io.write_labels(D.dbscan(df, cols, a.eps, a.numPts, a.borderPointsAsNoise, a.distanceMeasure).select(*cols, "cluster"), a.ds_output, *cols)
     elif a.command == "nearest":
-        io.write_labels(D.nearest_histogram(df, cols, a.eps, a.numBuckets), a.ds_output, "lo")
+        io.write_labels(D.nearest_histogram(df, cols, a.eps, a.numBuckets, a.distanceMeasure), a.ds_output, "lo")
     else:
-        io.write_labels(D.within_eps_histogram(df, cols, a.eps, a.numBuckets), a.ds_output, "lo")
+        io.write_labels(D.within_eps_histogram(df, cols, a.eps, a.numBuckets, a.distanceMeasure), a.ds_output, "lo")
     return 0
 
 

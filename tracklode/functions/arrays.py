@@ -183,6 +183,24 @@ def distance(name: str):
     return DISTANCES[name]
 
 
+def register(name: str, builder) -> None:
+    """Makes a builder (a, b) -> Column known under a name; a name in use is a ValueError."""
+    if name in DISTANCES:
+        raise ValueError(f"the distance {name!r} exists already")
+    DISTANCES[name] = builder
+
+
+def manhattan(a, b) -> Column:
+    return total(_pair(a, b, lambda x, y: F.abs(x - y)))
+
+
+def chebyshev(a, b) -> Column:
+    return F.array_max(_pair(a, b, lambda x, y: F.abs(x - y)))
+
+
+DISTANCES |= {"manhattan": manhattan, "chebyshev": chebyshev}
+
+
 def within(cols: list[str], low: list[float], high: list[float], closed: bool = True) -> Column:
     """Point inside a box, bounds included or (closed=False) excluded."""
     out = F.lit(True)

@@ -3,7 +3,9 @@
 Equal points are one vertex with a weight. A vertex goes to its own grid cell (SIDE times eps wide)
 and, as a border copy, to the neighbouring cells its radius reaches, so every pair within eps meets
 in a cell.
-Cells are worked through as sorted groups in blocks: neither pairs nor cells are ever gathered.
+Cells are worked through as sorted groups: neither pairs nor cells are ever gathered. In a cell points
+lie in leaves; leaves wholly inside or outside a radius count by their sums, only the others are
+compared, so a dense cell takes far less than the square of its points.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklode.functions.groups import by_key, group_bounds, whole_groups
+from tracklode.functions.groups import by_key, group_bounds, leaves, whole_groups
 from tracklode.functions.ids import number_rows
 from tracklode.operators.graph import connected_components
 from tracklode.operators.profile import histogram
@@ -24,6 +26,8 @@ from tracklode.runtime import Scratch, is_finite
 BLOCK = 4_000_000
 #: Width of a cell in radii: wider cells need fewer border copies and more comparisons.
 SIDE = 4
+#: Points of a leaf.
+LEAF = 64
 #: Points far from all others that are compared with every point.
 FEW = 1_000
 
@@ -54,25 +58,120 @@ def _copies(df: DataFrame, dims: int, eps: float) -> DataFrame:
     return df.withColumn("_c", F.explode(F.filter(F.array(*steps), lambda x: x.isNotNull()))).select("*", "_c.cell", "_c.home").drop("_c")
 
 
-def _blocks(x: np.ndarray, rows: np.ndarray, eps2: float):
-    """(rows, squared distances, who is within eps) a block of rows at a time."""
+#: How the difference of a coordinate enters a distance, how entries combine, and the root taken in the
+#: end. No distance is below the difference of any coordinate, so cells of any of them hold all pairs.
+MEASURES = {"euclidean": (np.square, np.add, np.sqrt), "manhattan": (np.abs, np.add, np.asarray), "chebyshev": (np.abs, np.maximum, np.asarray)}
+
+
+def _measure(name: str):
+    if name not in MEASURES:
+        raise ValueError(f"cells need one of the distances {', '.join(MEASURES)}, not {name!r}")
+    return MEASURES[name]
+
+
+def _blocks(x: np.ndarray, rows: np.ndarray, eps: float, measure: str = "euclidean"):
+    """(rows, distances before the root, who is within eps) a block of rows at a time."""
+    each, combine, _ = _measure(measure)
     step = max(1, BLOCK // max(1, len(x)))
     for s in range(0, len(rows), step):
         r = rows[s : s + step]
-        d2 = np.zeros((len(r), len(x)))
+        d = np.zeros((len(r), len(x)))
         for a in range(x.shape[1]):
-            d2 += (x[r, a][:, None] - x[None, :, a]) ** 2
-        yield r, d2, d2 <= eps2
+            combine(d, each(x[r, a][:, None] - x[None, :, a]), out=d)
+        yield r, d, d <= each(np.float64(eps))
+
+
+class _Leaves:
+    """The points of a cell in leaves with their boxes."""
+
+    def __init__(self, x: np.ndarray, eps: float, measure: str):
+        self.x, self.eps, self.measure = x, eps, measure
+        self.rows = leaves(x, LEAF)
+        self.low, self.high = (np.array([f(x[r], axis=0) for r in self.rows]) for f in (np.min, np.max))
+
+    def near(self, a: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves from `first` on that lie wholly within eps of every point of leaf a, and those that may
+        lie within eps of some."""
+        each, combine, _ = _measure(self.measure)
+        low, high = self.low[first:], self.high[first:]
+        gap = np.maximum(np.maximum(self.low[a] - high, low - self.high[a]), 0.0)
+        far = np.maximum(self.high[a] - low, high - self.low[a])
+        reach = each(np.float64(self.eps))
+        least, most = (combine.reduce(each(d), axis=1) for d in (gap, far))
+        inside = most <= reach * (1 - 1e-9)
+        return np.flatnonzero(inside) + first, np.flatnonzero(~inside & (least <= reach * (1 + 1e-9))) + first
+
+    def pairs(self, a: int, others: np.ndarray):
+        """(rows of leaf a, rows of the others, who is within eps)."""
+        at = np.concatenate([self.rows[b] for b in others])
+        both = np.concatenate([self.x[self.rows[a]], self.x[at]])
+        n = len(self.rows[a])
+        each, combine, _ = _measure(self.measure)
+        d = np.zeros((n, len(at)))
+        for axis in range(both.shape[1]):
+            combine(d, each(both[:n, axis][:, None] - both[None, n:, axis]), out=d)
+        return self.rows[a], at, d <= each(np.float64(self.eps))
+
+
+def _weights_near(x: np.ndarray, w: np.ndarray, home: np.ndarray, eps: float, measure: str) -> np.ndarray:
+    """Of each row at home the weight within eps of it."""
+    out, g = np.zeros(len(x), np.int64), _Leaves(x, eps, measure)
+    sums = np.array([w[r].sum() for r in g.rows])
+    for a, r in enumerate(g.rows):
+        if home[r].any():
+            inside, some = g.near(a)
+            out[r] = sums[inside].sum()
+            if len(some):
+                rows, at, close = g.pairs(a, some)
+                out[rows] += close @ w[at]
+    return out
+
+
+def _linked(x: np.ndarray, eps: float, measure: str) -> np.ndarray:
+    """Component label (a row number) of each row under links within eps."""
+    lab, g = np.arange(len(x)), _Leaves(x, eps, measure)
+
+    def join(i, j):
+        while True:  # hook the larger root to the smaller one until both ends agree
+            while (lab[lab] != lab).any():
+                lab[:] = lab[lab]
+            a, b = lab[i], lab[j]
+            live = a != b
+            if not live.any():
+                return
+            np.minimum.at(lab, np.maximum(a, b)[live], np.minimum(a, b)[live])
+
+    held_i, held_j, held = [], [], 0
+    for a, r in enumerate(g.rows):
+        inside, some = g.near(a, a)
+        if len(inside):
+            at = np.concatenate([g.rows[b] for b in inside])
+            held_i.append(np.full(len(at), r[0])), held_j.append(at)
+            held += len(at)
+        if len(some):
+            rows, at, close = g.pairs(a, some)
+            i, j = np.nonzero(close)
+            held_i.append(rows[i]), held_j.append(at[j])
+            held += len(i)
+        if held > BLOCK:
+            join(np.concatenate(held_i), np.concatenate(held_j))
+            held_i, held_j, held = [], [], 0
+    if held:
+        join(np.concatenate(held_i), np.concatenate(held_j))
+    return lab
 
 
 def _matrix(t: pa.Table, dims: int) -> np.ndarray:
     return np.asarray(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dims)
 
 
-def neighbour_counts(points: DataFrame, dims: int, eps: float) -> DataFrame:
+def neighbour_counts(points: DataFrame, dims: int, eps: float, measure: str = "euclidean", nearest: bool = True) -> DataFrame:
     """(v, w, n, nearest): n rows within eps of each vertex (its own included) and the distance to the
     nearest other vertex within eps (0 where the vertex has several rows, null without one). With a
-    column ask only for the vertices where it is true."""
+    column ask only for the vertices where it is true. Without `nearest` that is null, and dense cells
+    are counted by leaves."""
+
+    _measure(measure)  # an unknown name fails here
 
     def run(batches):
         for t in whole_groups(batches, "cell"):
@@ -81,13 +180,16 @@ def neighbour_counts(points: DataFrame, dims: int, eps: float) -> DataFrame:
             n, near = np.zeros(len(key), np.int64), np.full(len(key), np.nan)
             for a, z in zip(ends[:-1], ends[1:]):
                 g = x[a:z]
-                for r, d2, close in _blocks(g, np.flatnonzero(home[a:z]), eps * eps):
+                if not nearest:
+                    n[a:z] = _weights_near(g, w[a:z], home[a:z], eps, measure)
+                    continue
+                for r, d2, close in _blocks(g, np.flatnonzero(home[a:z]), eps, measure):
                     n[a + r] = close @ w[a:z]
                     d2[np.arange(len(r)), r] = np.inf
                     d2[~close] = np.inf
                     low = d2.min(1)
-                    near[a + r] = np.where(np.isfinite(low), np.sqrt(low), np.nan)
-            near[w > 1] = 0.0
+                    near[a + r] = np.where(np.isfinite(low), _measure(measure)[2](low), np.nan)
+            near[(w > 1) & nearest] = 0.0
             at = pa.array(np.flatnonzero(home))
             yield pa.RecordBatch.from_arrays([t["v"].combine_chunks().take(at), t["w"].combine_chunks().take(at), pa.array(n[home]), pa.array(near[home], from_pandas=True)], names=["v", "w", "n", "nearest"])
 
@@ -98,7 +200,7 @@ def neighbour_counts(points: DataFrame, dims: int, eps: float) -> DataFrame:
     return by_key(copies, "cell").mapInArrow(run, "v array<double>, w bigint, n bigint, nearest double")
 
 
-def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_noise: bool = False) -> DataFrame:
+def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_noise: bool = False, measure: str = "euclidean") -> DataFrame:
     """df's rows with finite cols, plus cluster bigint and kind CORE, BORDER or NOISE.
 
     A row is core if at least min_pts rows lie within eps, itself included. Clusters are components of
@@ -109,7 +211,7 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_n
     spark, dims = df.sparkSession, len(cols)
     scratch = Scratch(spark, "dbscan")
     pts = scratch.table(vertices(df, cols))
-    counted = neighbour_counts(pts, dims, eps).select("v", "n")
+    counted = neighbour_counts(pts, dims, eps, measure, nearest=False).select("v", "n")
     # vertices are named by their coordinates in order, so the smallest name is the smallest point
     named = scratch.table(counted.withColumn("core", F.col("n") >= min_pts))
 
@@ -122,19 +224,7 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_n
                 c = np.flatnonzero(core[a:z])
                 if not len(c):
                     continue
-                g = x[a:z][c]
-                lab = np.arange(len(c))
-                for r, _, close in _blocks(g, np.arange(len(c)), eps * eps):
-                    # each row of the block joins the least label it touches; repeated until stable below
-                    lab[r] = np.minimum(lab[r], np.where(close, lab[None, :], len(c)).min(1))
-                changed = True
-                while changed:
-                    changed = False
-                    for r, _, close in _blocks(g, np.arange(len(c)), eps * eps):
-                        low = np.where(close, lab[None, :], len(c)).min(1)
-                        if (low < lab[r]).any():
-                            lab[r] = np.minimum(lab[r], low)
-                            changed = True
+                lab = _linked(x[a:z][c], eps, measure)
                 a_all.append(c + a)
                 b_all.append(c[lab] + a)
             if a_all:
@@ -164,13 +254,23 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, border_as_n
                 ask = np.flatnonzero((cl[a:z] == 0) & home[a:z])
                 if not len(core) or not len(ask):
                     continue
-                g = x[a:z]
-                both = np.concatenate([g[core], g[ask]])
-                for r, _, close in _blocks(both, np.arange(len(core), len(both)), eps * eps):
-                    c = np.where(close[:, : len(core)], cl[a:z][core][None, :], np.iinfo(np.int64).max).min(1)
-                    ok = c < np.iinfo(np.int64).max
-                    at_all.append(ask[r - len(core)][ok] + a)
-                    got_all.append(c[ok])
+                both = np.concatenate([core, ask])
+                g, n = _Leaves(x[a:z][both], eps, measure), len(core)
+                got = np.full(len(both), np.iinfo(np.int64).max)
+                top = np.array([got[0] if (r >= n).all() else cl[a:z][both[r[r < n]]].min() for r in g.rows])
+                named = np.where(np.arange(len(both)) < n, cl[a:z][both], got)
+                for leaf, r in enumerate(g.rows):
+                    if (r < n).all():
+                        continue
+                    inside, some = g.near(leaf)
+                    if len(inside):
+                        got[r] = top[inside].min()
+                    if len(some):
+                        rows, at, close = g.pairs(leaf, some)
+                        got[rows] = np.minimum(got[rows], np.where(close, named[at][None, :], np.iinfo(np.int64).max).min(1))
+                ok = (np.arange(len(both)) >= n) & (got < np.iinfo(np.int64).max)
+                at_all.append(both[ok] + a)
+                got_all.append(got[ok])
             if at_all:
                 yield pa.RecordBatch.from_arrays([t["v"].combine_chunks().take(pa.array(np.concatenate(at_all))), pa.array(np.concatenate(got_all))], names=["v", "cluster"])
 
@@ -219,17 +319,17 @@ def predict(labelled: DataFrame, cols: list[str], queries: DataFrame, id_col: st
     return ask.select("id").join(per, "id", "left").select("id", label.cast("bigint").alias("prediction"))
 
 
-def within_eps_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int = 16) -> DataFrame:
+def within_eps_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int = 16, measure: str = "euclidean") -> DataFrame:
     """(lo, hi, count) of the number of rows within eps of each distinct point, itself included; points
     with no other near count 0."""
-    n = neighbour_counts(vertices(df, cols), len(cols), eps).select(F.when(F.col("n") == 1, 0).otherwise(F.col("n")).alias("n"))
+    n = neighbour_counts(vertices(df, cols), len(cols), eps, measure).select(F.when(F.col("n") == 1, 0).otherwise(F.col("n")).alias("n"))
     return histogram(n, "n", buckets)
 
 
-def nearest_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int = 16) -> DataFrame:
+def nearest_histogram(df: DataFrame, cols: list[str], eps: float, buckets: int = 16, measure: str = "euclidean") -> DataFrame:
     """(lo, hi, count) of the distance from each distinct point to the nearest other row, looked for
     within eps; points without one are left out."""
-    return histogram(neighbour_counts(vertices(df, cols), len(cols), eps), "nearest", buckets)
+    return histogram(neighbour_counts(vertices(df, cols), len(cols), eps, measure), "nearest", buckets)
 
 
 def nearest_distances(df: DataFrame, cols: list[str], eps: float, few: int = FEW) -> DataFrame:
@@ -282,26 +382,24 @@ def nearest_row_histogram(df: DataFrame, cols: list[str], eps: float, buckets: i
 
 
 def even_split(cells: list[tuple[tuple[float, float, float, float], int]], most: int, size: float) -> list[tuple[tuple[float, float, float, float], int]]:
-    """Splits the bounding box of counted rectangles (x1, y1, x2, y2) until each part holds at most
-    `most` points or can't be halved on the grid of `size`; every cut is the one that comes closest to
-    half. Empty parts are dropped. A planning aid for small inputs only: operators here join on cells.
-    """
-
-    def held(box):
-        return sum(n for (a, b, c, d), n in cells if box[0] <= a and box[1] <= b and c <= box[2] and d <= box[3])
-
+    """Parts of the bounding box of counted rectangles (x1, y1, x2, y2), the farther part of a cut first:
+    each holds at most `most` points or can't be cut on the grid of `size`, and every cut is the one
+    whose near side comes closest to half. Empty parts drop out. It plans by hand on a few counts."""
     if not cells:
         return []
-    whole = (min(c[0][0] for c in cells), min(c[0][1] for c in cells), max(c[0][2] for c in cells), max(c[0][3] for c in cells))
-    todo, done = [(whole, held(whole))], []
-    while todo:
-        box, n = todo.pop(0)
-        x1, y1, x2, y2 = box
-        cuts = [(x1, y1, x1 + i * size, y2) for i in range(1, int(round((x2 - x1) / size)))] + [(x1, y1, x2, y1 + i * size) for i in range(1, int(round((y2 - y1) / size)))]
-        if n <= most or not cuts:
-            done.append((box, n))
-            continue
-        left = min(cuts, key=lambda c: abs(n // 2 - held(c)))
-        right = (left[2], y1, x2, y2) if left[3] == y2 and left[2] < x2 else (x1, left[3], x2, y2)
-        todo = [(left, held(left)), (right, held(right)), *todo]
-    return [(b, n) for b, n in reversed(done) if n > 0]
+    box, n = np.array([c for c, _ in cells], float), np.array([k for _, k in cells])
+
+    def held(x1, y1, x2, y2):
+        return int(n[(box[:, 0] >= x1) & (box[:, 1] >= y1) & (box[:, 2] <= x2) & (box[:, 3] <= y2)].sum())
+
+    def parts(x1, y1, x2, y2):
+        whole = held(x1, y1, x2, y2)
+        columns = [((x1, y1, x, y2), (x, y1, x2, y2)) for x in (x1 + i * size for i in range(1, round((x2 - x1) / size)))]
+        rows = [((x1, y1, x2, y), (x1, y, x2, y2)) for y in (y1 + i * size for i in range(1, round((y2 - y1) / size)))]
+        if whole <= most or not columns + rows:
+            return [((x1, y1, x2, y2), whole)] if whole else []
+        near, far = min(columns + rows, key=lambda c: abs(whole // 2 - held(*c[0])))
+        return parts(*far) + parts(*near)
+
+    edge = [c for c, _ in cells]
+    return parts(min(c[0] for c in edge), min(c[1] for c in edge), max(c[2] for c in edge), max(c[3] for c in edge))

@@ -120,6 +120,18 @@ def mixed_centroid(df: DataFrame, group: str, numeric: list[str], nominal: list[
     return out
 
 
+def pairwise_cost(df: DataFrame, group: str, numeric: list[str]) -> DataFrame:
+    """(group, n, cost): the sum of the squared Euclidean distances of all pairs of a group's rows over the
+    numeric columns. It is n² times the sum of their variances, so no pair is formed.
+    Rows with a value that isn't finite are left out."""
+    ok = F.lit(True)
+    for d in numeric:
+        ok = ok & is_finite(F.col(d).cast("double"))
+    t = df.where(ok).select(group, *(F.col(d).cast("double").alias(d) for d in numeric))
+    cost = sum((F.count("*") * F.count("*") * F.var_pop(d) for d in numeric), F.lit(0.0))
+    return t.groupBy(group).agg(F.count("*").alias("n"), cost.alias("cost"))
+
+
 def histogram(df: DataFrame, col: str, buckets: int = 16, weight: str | None = None) -> DataFrame:
     """(lo, hi, count): equal-width buckets over the range of col; the last one includes the maximum,
     empty buckets count 0, a single value gives one bucket. Nulls are left out; no values, no rows.

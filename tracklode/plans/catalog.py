@@ -170,6 +170,13 @@ def mixed_centroids(spark, sf_dir):
     return profile.mixed_centroid(read(spark, sf_dir, "orders"), "o_orderstatus", ["o_totalprice"], ["o_orderpriority"]).select("o_orderstatus", "n", F.round("o_totalprice", 4).alias("o_totalprice"), "o_orderpriority")
 
 
+@query("pairwise_cost", "SELECT o_orderstatus, count(*) AS n, round(count(*) * (count(*) * var_pop(o_totalprice / 1000)), 0) AS cost FROM orders GROUP BY 1")
+def pairwise_cost(spark, sf_dir):
+    """Sum over all pairs of orders of a status of their squared price difference, in thousands."""
+    o = read(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_totalprice") / 1000).alias("p"))
+    return profile.pairwise_cost(o, "o_orderstatus", ["p"]).select("o_orderstatus", "n", F.round("cost", 0).alias("cost"))
+
+
 @query(
     "value_histogram",
     """WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), b AS (SELECT CAST(least(floor((l_quantity - lo) / ((hi - lo) / 16)), 15) AS INT) AS b, count(*) AS n FROM lineitem, s GROUP BY 1)
@@ -279,6 +286,24 @@ def lsh_bucket_join(spark, sf_dir):
     return lsh.bucket_join(classes, AB, 0.8).withColumn("dist", F.round("dist", 6))
 
 
+SETS_AB = """fs AS (SELECT rid, list_sort(list_distinct(list_filter(features, lambda x: x IS NOT NULL))) AS active FROM set_features WHERE rid IS NOT NULL), ls AS (SELECT CAST(active AS BIGINT[]) AS active, min(rid) AS id FROM fs WHERE len(active) > 0 GROUP BY active),
+    ga AS (SELECT rid, list_sort(list_distinct(list_filter(features, lambda x: x IS NOT NULL))) AS active FROM area_sets WHERE rid IS NOT NULL), rs AS (SELECT CAST(active AS BIGINT[]) AS active, min(rid) AS id FROM ga WHERE len(active) > 0 GROUP BY active)"""
+
+
+@query(
+    "lsh_join",
+    f"""WITH {SETS_AB}, lh AS (SELECT id, active, [{HASHES}] AS h FROM ls), rh AS (SELECT id, active, [{HASHES}] AS h FROM rs),
+    lb AS (SELECT id, e.i AS entry, h[e.i + 1] AS hv FROM lh, range({len(AB)}) e(i)), rb AS (SELECT id, e.i AS entry, h[e.i + 1] AS hv FROM rh, range({len(AB)}) e(i)),
+    p AS (SELECT lb.id AS a, rb.id AS b, lb.entry, lb.hv FROM lb JOIN rb ON lb.entry = rb.entry AND lb.hv = rb.hv), k AS (SELECT DISTINCT a, b FROM p),
+    d AS (SELECT a, b, {JAC.format(a='x.active', b='y.active')} AS dist FROM k JOIN ls x ON x.id = a JOIN rs y ON y.id = b)
+    SELECT p.a AS id_a, p.b AS id_b, CAST(p.entry AS INT) AS entry, p.hv AS "hashValue", round(d.dist, 6) AS dist FROM p JOIN d ON p.a = d.a AND p.b = d.b WHERE d.dist < 0.6""",
+)
+def lsh_join(spark, sf_dir):
+    """Sets of set_features and area_sets that share a bucket and are closer than 0.6."""
+    sets = [lsh.set_classes(read(spark, sf_dir, t).select("rid", F.col("features").alias("active")), "rid")[0] for t in ("set_features", "area_sets")]
+    return lsh.join(*sets, AB, 0.6).withColumn("dist", F.round("dist", 6))
+
+
 @query("lsh_knn", f"WITH {CLS}, p AS (SELECT DISTINCT a.class_id AS id, b.class_id AS other, {JAC.format(a='a.active', b='b.active')} AS dist FROM bk a JOIN bk b ON a.entry = b.entry AND a.hashValue = b.hashValue AND a.class_id <> b.class_id) SELECT id, other, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS r FROM p) WHERE r <= 3")
 def lsh_knn(spark, sf_dir):
     classes, _ = lsh.set_classes(order_sets(spark, sf_dir), "o_orderkey")
@@ -333,6 +358,13 @@ def seqs(spark, sf_dir):
     return s.select("traj", F.array_join(F.transform("items", lambda i: F.concat(i["time"].cast("string"), F.lit(":"), i["area_id"].cast("string"))), " ").alias("items"))
 
 
+@query("nested_rows", """WITH r AS (SELECT d_0, unnest(items) AS i, generate_subscripts(items, 1) - 1 AS pos FROM traj_items) SELECT d_0, CAST(pos AS INT) AS items_pos, i.time AS items_time, i.area_id AS items_area_id, count(*) AS n FROM r GROUP BY ALL""")
+def nested_rows(spark, sf_dir):
+    """The nested items as table rows, counted, as several rows may repeat."""
+    t = read(spark, sf_dir, "traj_items").select("d_0", F.transform("items", lambda i: F.struct(i["time"].alias("time"), i["area_id"].alias("area_id"))).alias("items"))
+    return io.flat_rows(t).groupBy("d_0", "items_pos", "items_time", "items_area_id").agg(F.count("*").alias("n"))
+
+
 @query("frequent_items", f"WITH {VIS} SELECT area, count(DISTINCT traj) AS support FROM v, mc GROUP BY area, need HAVING count(DISTINCT traj) >= need")
 def frequent_items(spark, sf_dir):
     v = event_visits(spark, sf_dir)
@@ -606,6 +638,19 @@ def model_cost(spark, sf_dir):
     return kmeans.model_cost(vectors(spark, sf_dir), CENTRES).select(F.round("cost", 4).alias("cost"))
 
 
+#: A Lloyd step in SQL, and ten fixed centres to start from.
+STEP = """n{k} AS (SELECT vec_id, v, arg_min(j, d) AS cluster FROM (SELECT e.vec_id, e.v, c.j, list_dot_product(e.v, e.v) - 2 * list_dot_product(e.v, c.c) + list_dot_product(c.c, c.c) AS d FROM e, c{k} c) GROUP BY vec_id, v),
+    c{n} AS (SELECT j, list(m ORDER BY pos) AS c FROM (SELECT cluster AS j, i.i AS pos, avg(v[i.i + 1]) AS m FROM n{k}, range(64) i(i) GROUP BY 1, 2) GROUP BY j)"""
+START = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c0 AS (SELECT j.j, list_transform(range(64), lambda x: CASE WHEN x = j.j THEN 1.0 ELSE 0.0 END) AS c FROM range(10) j(j))"
+
+
+@query("kmeans_fixed_start", f"WITH {START}, {STEP.format(k=0, n=1)}, {STEP.format(k=1, n=2)}, {STEP.format(k=2, n=3)} SELECT CAST(j AS INT) AS cluster, CAST(i.i AS INT) AS pos, round(c[i.i + 1], 6) AS m FROM c3, range(64) i(i)")
+def kmeans_fixed_start(spark, sf_dir):
+    """Three Lloyd steps from fixed centres."""
+    centers, _, _ = kmeans.kmeans(vectors(spark, sf_dir), 10, 64, "euclidean", iterations=3, epsilon=0.0, start=CENTRES)
+    return kmeans.kmeans_table(spark, centers).select("cluster", F.posexplode("center").alias("pos", "m")).select("cluster", "pos", F.round("m", 6).alias("m"))
+
+
 @query("kmeans_centers")
 def kmeans_centers(spark, sf_dir):
     centers, _, _ = kmeans.kmeans(vectors(spark, sf_dir), 8, 64, "RV", iterations=10)
@@ -629,6 +674,17 @@ def projection_hash(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", F.round(h, 6).alias("h"))
 
 
+@query(
+    "mslsh_modes",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id AS id, b.v, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v)) AS r FROM e a JOIN e b ON true)
+    SELECT id, round(sum(list_sum(v)) / 7, 5) AS total, round(sum(v[1]) / 7, 5) AS first FROM d WHERE r <= 7 GROUP BY id""",
+)
+def mslsh_modes(spark, sf_dir):
+    """One step of mean shift over a single slice: each mode is the mean of the seven nearest points."""
+    modes = meanshift.mean_shift_lsh(vectors(spark, sf_dir), 64, k=7, iterations=1, slices=1, label_slices=1, normalise=False)["modes"]
+    return modes.select("id", F.round(A.total("mode"), 5).alias("total"), F.round(F.col("mode")[0], 5).alias("first"))
+
+
 @query("mslsh_areas")
 def mslsh_areas(spark, sf_dir):
     return areas.discover("MSLSH", read(spark, sf_dir, "embeddings"), "vec_id", vec="embedding", dim=64, iterations=4, slices=5, epsilon2=0.5, epsilon3=0.5)

@@ -23,6 +23,17 @@ def read_points(spark: SparkSession, path: str, types: list[str], delimiter: str
     return df.dropna(subset=["d_0", "d_1"][: len(types)])
 
 
+def existing(spark: SparkSession, path: str) -> str:
+    """The path, or a PathError if nothing is there; a glob must match something."""
+    from tracklode.operators.hotspot import PathError
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    if not found:
+        raise PathError(f"{path} doesn't exist")
+    return path
+
+
 def nominal_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
@@ -68,6 +79,29 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str, properties: dict
     df.select(*flat).write.jdbc(url, f"{schema}.{table}" if schema else table, mode=mode, properties=properties or {})
 
 
+def flat_rows(df: DataFrame) -> DataFrame:
+    """Nested columns as rows, outermost first: a map gives <name>_key and <name>, an array <name>_pos (from
+    0) and <name>, a struct one column a field (<name>_<field>), until no column is nested. Rows whose
+    array or map is null or empty drop out, as tables have no row for them; several nested columns of
+    a row give all their combinations, so keep the one that is wanted."""
+    while True:
+        nested = next((f for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))), None)
+        if nested is None:
+            return df
+        n, rest = nested.name, [c for c in df.columns if c != nested.name]
+        if isinstance(nested.dataType, T.StructType):
+            df = df.select(*rest, *(F.col(n)[f.name].alias(f"{n}_{f.name}") for f in nested.dataType.fields))
+        elif isinstance(nested.dataType, T.MapType):
+            df = df.select(*rest, F.explode(n).alias(f"{n}_key", n))
+        else:
+            df = df.select(*rest, F.posexplode(n).alias(f"{n}_pos", n))
+
+
+def write_jdbc_rows(df: DataFrame, url: str, table: str, mode: str, properties: dict | None = None, schema: str | None = None) -> None:
+    """write_jdbc with nested columns as rows."""
+    write_jdbc(flat_rows(df), url, table, mode, properties, schema)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
