@@ -77,7 +77,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     before = F.sum("_n").over(Window.partitionBy("source").orderBy("_range")) - F.col("_n")
     sums = sums.select("source", "_range", before.alias("_base"))
     within = F.sum("n_tokens").over(Window.partitionBy("source", "_range").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    placed = keyed.withColumn("_in", within).join(F.broadcast(sums), ["source", "_range"]).join(F.broadcast(per_source), "source")
+    # one row a source and range: joined on the partitioning the window needs anyway
+    placed = keyed.withColumn("_in", within).join(sums.hint("merge"), ["source", "_range"]).join(F.broadcast(per_source), "source")  # one row a source
     # a use of a document starts at (copy - 1) * tokens of its source + its own position
     start = F.col("_held") * (F.col("copy") - 1) + F.col("_base") + F.col("_in")
     uses = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_most")))).withColumn("_at", start).where(F.col("_at") < F.col("_quota"))
