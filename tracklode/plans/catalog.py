@@ -253,6 +253,21 @@ def vector_algebra(spark, sf_dir):
     return v.select("vec_id", F.round(A.total("v"), 6).alias("total"), F.round(A.norm("v"), 6).alias("norm"), F.round(A.least("v"), 6).alias("low"), A.largest_index("v").alias("at_high"), F.round(A.dot(two, two), 6).alias("squares"), F.round(A.total(A.exp("v")), 6).alias("exps"), F.round(A.total(A.part("v", 2, 6)), 6).alias("part"))
 
 
+@query(
+    "distance_functions",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT vec_id, v, list_sum(v) AS s, sqrt(list_dot_product(v, v)) AS n FROM e)
+    SELECT vec_id, round(sqrt(n * n - 2 * s + 64), 6) AS euclid, round(s / sqrt(n * n * 64), 6) AS flat, round(list_sum(list_transform(v, lambda x: abs(x - 1))), 6) AS manhattan, round(list_max(list_transform(v, lambda x: abs(x - 1))), 6) AS chebyshev,
+    CASE WHEN floor(v[1] * 2) = floor(v[3] * 2) OR floor(v[2] * 2) = floor(v[4] * 2) THEN 0 ELSE 1 END AS hashes, v[1] BETWEEN -0.1 AND 0.1 AND v[2] BETWEEN 0.0 AND 0.2 AS closed, v[1] > -0.1 AND v[1] < 0.1 AND v[2] > 0.0 AND v[2] < 0.2 AS open, true AS same, false AS other FROM t""",
+)
+def distance_functions(spark, sf_dir):
+    """Distances to the vector of ones, least hash distance of two pairs of entries, boxes, tolerant equality."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("x", F.col("v")[0]).withColumn("y", F.col("v")[1])
+    half = lambda i: F.floor(F.col("v")[i] * 2)
+    box = lambda closed: A.within(["x", "y"], [-0.1, 0.0], [0.1, 0.2], closed)
+    return v.select("vec_id", F.round(A.euclidean("v", A.ones(64)), 6).alias("euclid"), F.round(A.rv_flat("v", A.ones(64)), 6).alias("flat"), F.round(A.manhattan("v", A.ones(64)), 6).alias("manhattan"), F.round(A.chebyshev("v", A.ones(64)), 6).alias("chebyshev"),
+        A.hash_distance(F.array(half(0), half(1)), F.array(half(2), half(3))).alias("hashes"), box(True).alias("closed"), box(False).alias("open"), A.almost_equal("x", F.col("x") + 1e-12).alias("same"), A.almost_equal("x", F.col("x") + 1e-6).alias("other"))
+
+
 @query(
     "jaccard_pairs",
     """WITH s AS (SELECT rid, list_sort(list_distinct(list_filter(features, lambda x: x IS NOT NULL))) AS f FROM area_sets), t AS (SELECT rid, f, unnest(f) AS x FROM s)
@@ -498,6 +513,12 @@ def hotspot_pipeline(spark, sf_dir):
     return pipeline.hotspots(events(spark, sf_dir), "user_id", "value", "k", "t", 25, DAY_US, 2, 50).select("cell_id", F.round("z", 6).alias("z"), "cx", "cy", "ct")
 
 
+@query("hotspot_times", f"WITH {GI} SELECT cell_id, CAST(t0 + (cell_id // (nx * ny)) * {DAY_US} AS BIGINT) AS t_from, CAST(t0 + (cell_id // (nx * ny) + 1) * {DAY_US} AS BIGINT) AS t_to FROM z, g WHERE z IS NOT NULL ORDER BY z.z DESC, cell_id LIMIT 50")
+def hotspot_times(spark, sf_dir):
+    """First and last time of the 50 highest cells."""
+    return pipeline.hotspots(events(spark, sf_dir), "user_id", "value", "k", "t", 25, DAY_US, 2, 50).select("cell_id", "t_from", "t_to")
+
+
 # ---- density clustering ----
 
 EPS, PTS = 0.75, 9
@@ -526,6 +547,16 @@ def dbscan_labels(spark, sf_dir):
     return db.dbscan(event_points(spark, sf_dir), ["x", "y"], EPS, PTS).select("event_id", "cluster", "kind")
 
 
+@query("dbscan_border_as_noise", f"WITH RECURSIVE {CORE} SELECT event_id, CAST(coalesce(cluster, 0) AS BIGINT) AS cluster, coalesce(kind, 'NOISE') AS kind FROM p LEFT JOIN (SELECT * FROM lab WHERE kind = 'CORE') USING (x, y)")
+def dbscan_border_as_noise(spark, sf_dir):
+    return db.dbscan(event_points(spark, sf_dir), ["x", "y"], EPS, PTS, border_as_noise=True).select("event_id", "cluster", "kind")
+
+
+@query("dbscan_noise", f"WITH RECURSIVE {CORE} SELECT event_id FROM p LEFT JOIN lab USING (x, y) WHERE cluster IS NULL")
+def dbscan_noise(spark, sf_dir):
+    return db.noise(db.dbscan(event_points(spark, sf_dir), ["x", "y"], EPS, PTS)).select("event_id")
+
+
 @query("dbscan_areas", f"WITH RECURSIVE {CORE} SELECT event_id AS rid, CAST(coalesce(cluster, 0) AS INT) AS area_id FROM p LEFT JOIN lab USING (x, y)")
 def dbscan_areas(spark, sf_dir):
     return areas.discover("DBSCAN", event_points(spark, sf_dir), "event_id", cols=["x", "y"], eps=EPS, min_pts=PTS)
@@ -600,6 +631,14 @@ def cell_areas(spark, sf_dir):
     return areas.discover("CELLS", read(spark, sf_dir, "part"), "p_partkey", numeric={"p_size": 5, "p_retailprice": 10})
 
 
+@query("points_with_areas", "WITH c AS (SELECT p_partkey, p_brand, CAST(trunc((p_size - (SELECT min(p_size) FROM part)) / 5.0) AS BIGINT) AS x, CAST(trunc((p_retailprice - (SELECT min(p_retailprice) FROM part)) / 10) AS BIGINT) AS y FROM part) SELECT p_partkey, p_brand, CAST(dense_rank() OVER (ORDER BY x, y) AS INT) AS area_id FROM c")
+def points_with_areas(spark, sf_dir):
+    """Each part with the area of its cell beside its own columns."""
+    part = read(spark, sf_dir, "part")
+    found = areas.discover("CELLS", part, "p_partkey", numeric={"p_size": 5, "p_retailprice": 10})
+    return areas.with_areas(part, found, "p_partkey").select("p_partkey", "p_brand", "area_id")
+
+
 @query(
     "hotspot_areas",
     f"""WITH RECURSIVE {GI}, h AS (SELECT x, y, t, row_number() OVER (ORDER BY x, y, t) AS i, x + y * nx + t * nx * ny AS cell_id FROM ww, g WHERE x + y * nx + t * nx * ny IN (SELECT cell_id FROM z WHERE z.z > 1.5)),
