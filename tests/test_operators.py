@@ -756,6 +756,7 @@ def test_pipeline_clusters_move_no_transitions(spark):
     assert got == want and len({x[0] for x in got}) > 20 and {-1, 0, 1} < {x[3] for x in got}
     plan = run.clusters._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and run.clusters.rdd.getNumPartitions() > 4
+    assert run.clusters.where("pattern IS NOT NULL AND traj IS NOT NULL").rdd.getNumPartitions() > 4
     named = sequences.visits(points.withColumn("d_0", F.concat(F.lit("t"), "d_0")).withColumn("a", (F.col("d_2") / 100).cast("int")), "d_0", "d_1", "a", ["d_2", "d_3"])
     patterns = spark.createDataFrame([([1, 2], 2), ([1, 2, 1], 3), ([3], 1)], "pattern array<int>, length int")
     want = sequences.cluster_transitions(sequences.transitions(sequences.pattern_instances(named, patterns, 300, 2)), 60.0, 1.0)
